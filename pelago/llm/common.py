@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +57,24 @@ def per_batch(make: Callable[[pa.RecordBatch], Iterable[dict | pa.RecordBatch]],
 def strings(column: pa.Array) -> list[str]:
     """The column's texts, null as empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 50_000) -> Iterator[pa.Table]:
+    """Sorted batches gathered into tables of about ``rows`` rows or more, cut only where the key changes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if size >= rows:
+            values = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            change = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0))
+            apart = any(held[-1].column(k)[-1].as_py() != v[0] for k, v in zip(keys, values, strict=True))
+            cut = int(change[-1]) + 1 if len(change) else 0 if apart else -1
+            if cut >= 0:
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+                held, size, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

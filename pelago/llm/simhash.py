@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, stored, text_or_empty
+from .common import per_batch, stored, text_or_empty, whole_keys
 from .components import connected_components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -191,10 +191,7 @@ def _bucket_edges(rows: DataFrame, key_cols: list[str], words: int, ring: Ring,
     """Tree edges between ``rep``s of rows with equal keys; rows are dealt and sorted by key, buckets pass batch ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[pa.RecordBatch]):
-            whole = pa.Table.from_batches(held).combine_chunks()
-            if not whole.num_rows:
-                return
+        for whole in whole_keys(batches, ["tab", "key"]):
             table = whole.column("tab").to_numpy()
             key = np.stack([table, whole.column("key").to_numpy()], axis=1)
             same = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(axis=1))])
@@ -203,26 +200,6 @@ def _bucket_edges(rows: DataFrame, key_cols: list[str], words: int, ring: Ring,
             pairs = np.array(list(link_rows(same, f, ring, table % ring.segments if fixed_start else None)), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(rep[pairs[:, 0]]), pa.array(rep[pairs[:, 1]])], schema=EDGES)
 
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if size >= 50_000:
-                # cut at the last change of key in this batch; what lies before is complete
-                t, k = batch.column("tab").to_numpy(), batch.column("key").to_numpy()
-                end = held[-1]
-                first = (end.column("tab")[-1].as_py(), end.column("key")[-1].as_py()) != (t[0], k[0])
-                change = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1]))
-                cut = int(change[-1]) + 1 if len(change) else 0 if first else -1
-                if cut >= 0:
-                    yield from flush([*held, batch.slice(0, cut)])
-                    held, size, batch = [], 0, batch.slice(cut)
-            held.append(batch)
-            size += batch.num_rows
-        if held:
-            yield from flush(held)
-
     dealt = rows.repartition(*[F.col(c) for c in key_cols]).sortWithinPartitions(*key_cols)
     return dealt.select("tab", "key", "rep", *[f"f{i}" for i in range(words)]).mapInArrow(run, "a long, b long")
 
