@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import per_batch, stored
 
@@ -99,7 +100,7 @@ def remove_repeated_spans(docs: DataFrame, min_words: int = 20, id_col: str = "d
     places = stored(repeated_places(docs, min_words, id_col, text_col), "spans-places").select(F.col("doc_id").alias("__doc"), F.col("places").alias("__places"))
     joined = docs.join(places, docs[id_col].cast("long") == F.col("__doc"), "left").drop("__doc")
     names, chars = docs.columns, chars_col if chars_col in docs.columns else None
-    schema = docs.schema if removed_col is None else docs.schema.add(removed_col, "int")
+    schema = T.StructType([*docs.schema.fields, *([T.StructField(removed_col, T.IntegerType())] if removed_col else [])])
 
     def make(batch):
         texts, marks = batch.column(names.index(text_col)).to_pylist(), batch.column(len(names)).to_pylist()
