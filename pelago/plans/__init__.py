@@ -1,0 +1 @@
+"""The SQL front end: text to syntax tree to DataFrame."""
