@@ -155,20 +155,26 @@ def justify_interval(v: Column) -> Column:
 
 
 def text(v: Column) -> Column:
-    """``1 year 2 mons 3 days 04:05:06``."""
+    """``1 year 2 mons 3 days 04:05:06``; a positive part after a negative one gets its plus sign."""
     years, months = (v["months"] / 12).cast("int"), v["months"] % 12
+    after_year = years < 0
+    after_month = F.when(months != 0, months < 0).otherwise(after_year)
+    after_day = F.when(v["days"] != 0, v["days"] < 0).otherwise(after_month)
 
-    def part(n: Column, one: str, many: str) -> Column:
-        return F.when(n != 0, F.concat(n.cast("string"), F.when(n == 1, F.lit(f" {one}")).otherwise(F.lit(f" {many}"))))
+    def plus(n: Column, before: Column) -> Column:
+        return F.when(before & (n > 0), F.lit("+")).otherwise(F.lit(""))
+
+    def part(n: Column, before: Column, one: str, many: str) -> Column:
+        return F.when(n != 0, F.concat(plus(n, before), n.cast("string"), F.when(n == 1, F.lit(f" {one}")).otherwise(F.lit(f" {many}"))))
 
     micros = F.abs(v["micros"])
     second = micros % 60_000_000
     fraction = F.rtrim(F.lpad((second % 1_000_000).cast("string"), 6, "0"), F.lit("0"))
     clock = F.concat(
-        F.when(v["micros"] < 0, F.lit("-")).otherwise(F.lit("")),
+        F.when(v["micros"] < 0, F.lit("-")).otherwise(plus(v["micros"], after_day)),
         F.format_string("%02d:%02d:%02d", F.floor(micros / 3_600_000_000).cast("long"), (F.floor(micros / 60_000_000) % 60).cast("long"), F.floor(second / 1_000_000).cast("long")),
         F.when(second % 1_000_000 != 0, F.concat(F.lit("."), fraction)).otherwise(F.lit("")),
     )
     nothing = (v["months"] == 0) & (v["days"] == 0)
-    out = F.concat_ws(" ", part(years, "year", "years"), part(months, "mon", "mons"), part(v["days"], "day", "days"), F.when((v["micros"] != 0) | nothing, clock))
+    out = F.concat_ws(" ", part(years, F.lit(False), "year", "years"), part(months, after_year, "mon", "mons"), part(v["days"], after_month, "day", "days"), F.when((v["micros"] != 0) | nothing, clock))
     return F.when(v.isNotNull(), out)

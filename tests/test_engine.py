@@ -74,7 +74,7 @@ ROWS = [
     ("SELECT sqrt(4.0)::float8, round(ln(2.0), 10)::float8, power(2.0, 3)::float8", [(2.0, 0.6931471806, 8.0)]),
     ("SELECT date '2024-01-31' + 1, date '2024-03-01' - date '2024-02-01', date '2024-01-31' + interval '1 month'", [(dt.date(2024, 2, 1), 29, dt.datetime(2024, 2, 29))]),
     ("SELECT interval '1 month' = interval '30 days', interval '1 day' < interval '25 hours', (interval '1 month' * 1.5)::text, (interval '1 day' / 3)::text, (-interval '2 days')::text", [(True, True, "1 mon 15 days", "08:00:00", "-2 days")]),
-    ("SELECT '1 year 2 mons 3 days 04:05:06.5'::interval::text, '1.5 days'::interval::text, '-1 day +02:00'::interval::text, '500 ms'::interval::text, interval '0'::text" if False else "SELECT '1 year 2 mons 3 days 04:05:06.5'::interval::text, '1.5 days'::interval::text, '-1 day +02:00'::interval::text, '500 ms'::interval::text", [("1 year 2 mons 3 days 04:05:06.5", "1 day 12:00:00", "-1 day 02:00:00", "00:00:00.5")]),
+    ("SELECT '1 year 2 mons 3 days 04:05:06.5'::interval::text, '1.5 days'::interval::text, '-1 day +02:00'::interval::text, '500 ms'::interval::text", [("1 year 2 mons 3 days 04:05:06.5", "1 day 12:00:00", "-1 days +02:00:00", "00:00:00.5")]),
     ("SELECT count(*) FROM (SELECT v FROM (VALUES (interval '1 month'), (interval '30 days'), (interval '1 day'), (interval '24 hours'), (interval '2 days')) t(v) GROUP BY v) g", [(3,)]),
     ("SELECT age(timestamp '2024-03-01 00:00:00', timestamp '2023-12-31 12:00:00')::text, age(timestamp '2001-04-10 00:00:00', timestamp '1957-06-13 00:00:00')::text", [("2 mons 12:00:00", "43 years 9 mons 27 days")]),
     ("SELECT extract(dow FROM date '2024-01-07')::int, extract(century FROM date '2000-12-31')::int, extract(isoyear FROM date '2024-12-30')::int, extract(epoch FROM interval '1 day 2 hours')::int, extract(second FROM time '10:00:03.5')::float8, date_part('hour', timestamp '2024-01-01 05:00:00')", [(0, 20, 2025, 93600, 3.5, 5.0)]),
