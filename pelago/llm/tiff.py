@@ -93,6 +93,7 @@ def unlzw(data: bytes) -> bytes:
 
 
 def lzw(data: bytes) -> bytes:
+    """What :func:`unlzw` reads; the reader's table is one entry behind this one, so widths change one entry later."""
     out, held, bits = bytearray(), 0, 0
 
     def put(code: int, width: int) -> None:
@@ -110,16 +111,16 @@ def lzw(data: bytes) -> bytes:
         if len(longer) == 1 or longer in table:
             word = longer
             continue
-        width = 9 + (size >= 511) + (size >= 1023) + (size >= 2047)
+        width = 9 + (size >= 512) + (size >= 1024) + (size >= 2048)
         put(table[word] if len(word) > 1 else word[0], width)
         table[longer], size, word = size, size + 1, longer[-1:]
         if size >= 4094:
             put(256, 12)
             table, size = {}, 258
     if word:
-        put(table[word] if len(word) > 1 else word[0], 9 + (size >= 511) + (size >= 1023) + (size >= 2047))
+        put(table[word] if len(word) > 1 else word[0], 9 + (size >= 512) + (size >= 1024) + (size >= 2048))
         size += 1
-    put(257, 9 + (size >= 511) + (size >= 1023) + (size >= 2047))
+    put(257, 9 + (size >= 512) + (size >= 1024) + (size >= 2048))
     if bits:
         out.append(held << (8 - bits) & 255)
     return bytes(out)
