@@ -94,6 +94,12 @@ class Ring:
                 masks[s, b // 64] |= np.uint64(1 << (b % 64))
         self.masks, self.starts, self.sizes = masks, edges[:-1], np.diff(edges).tolist()
 
+    def parts(self, x: np.ndarray) -> np.ndarray:
+        """Differing bits in each segment."""
+        if set(self.sizes) == {16}:
+            return np.bitwise_count(np.ascontiguousarray(x).view("<u2")).astype(np.int64)
+        return np.stack([np.bitwise_count(x & m).sum(axis=1) for m in self.masks], axis=1).astype(np.int64)
+
     def budget(self, length: int) -> int:
         return length * self.most // self.segments
 
@@ -109,7 +115,7 @@ class Ring:
                 ok = total <= self.budget(length)
                 alive, total = alive[ok], total[ok]
             return alive
-        parts = np.stack([np.bitwise_count(x & m).sum(axis=1) for m in self.masks], axis=1).astype(np.int64)
+        parts = self.parts(x)
         ring = np.concatenate([parts, parts], axis=1)
         chain = np.ones(parts.shape, dtype=bool)
         total = np.zeros(parts.shape, dtype=np.int64)
@@ -242,21 +248,74 @@ def hamming_edges(prints: DataFrame, bits: int, most: int) -> DataFrame:
     return _bucket_edges(whole, ["tab", "key"], 1, ring, True)
 
 
-def sampled_edges(prints: DataFrame, bits: int, most: int, recall: float = 0.99, share: float | None = None, seed: int = 8) -> DataFrame:
-    """Edges among wide fingerprints within ``most`` differing bits.
+def forest_rows(key: np.ndarray, f: np.ndarray, ring: Ring, sure: int = 0, forests: int = 3) -> Iterator[tuple[int, int, int]]:
+    """(row, row, differing bits): in each bucket a spanning forest of least distances, over pairs within the ring.
+
+    Between any two rows such a forest has a path without an edge longer than the best path's longest, so a stricter test
+    of its edges later loses few links; and since distances only estimate what the test measures, edges over ``sure``
+    come from ``forests`` forests without a common edge, so that a pair stays linked though some of its edges fail.
+    Broad buckets grow their trees row by row, each from its nearest rows so far, with memory for a few rows of distances.
+    """
+    n = len(key)
+    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if n else np.zeros(1, int)
+    sizes = np.diff(cuts)
+    last = np.repeat(cuts[1:], sizes)
+    rows = np.flatnonzero(np.repeat(sizes <= BROAD, sizes))
+    found = []
+    for step in range(1, BROAD):
+        rows = rows[rows + step < last[rows]]
+        if not len(rows):
+            break
+        for at in range(0, len(rows), 1 << 15):
+            a = rows[at : at + (1 << 15)]
+            x = f[a] ^ f[a + step]
+            near = ring.close(x, None)
+            found.append(np.stack([a[near], a[near] + step, np.bitwise_count(x[near]).sum(axis=1)], axis=1).astype(np.int64))
+    if found:
+        pairs = np.concatenate(found)
+        links = [Links(n) for _ in range(forests)]
+        for i, j, d in pairs[np.argsort(pairs[:, 2], kind="stable")].tolist():
+            if d <= sure:
+                if links[0].join(i, j):
+                    yield i, j, d
+                for other in links[1:]:
+                    other.join(i, j)
+            elif any(forest.join(i, j) for forest in links):
+                yield i, j, d
+    for lo, hi in zip(cuts[:-1][sizes > BROAD].tolist(), cuts[1:][sizes > BROAD].tolist(), strict=True):
+        rest = np.arange(lo + 1, hi)
+        best, source = np.full((forests, len(rest)), 1 << 30), np.full((forests, len(rest)), lo)
+        new = lo
+        while len(rest):
+            d, by = np.bitwise_count(f[rest] ^ f[new]).sum(axis=1).astype(np.int64), np.full(len(rest), new)
+            for t in range(forests):  # keep the nearest ones in order
+                closer = d < best[t]
+                best[t], d = np.where(closer, d, best[t]), np.where(closer, best[t], d)
+                source[t], by = np.where(closer, by, source[t]), np.where(closer, source[t], by)
+            k = int(best[0].argmin())
+            new = int(rest[k])
+            for t in range(forests if best[0, k] > sure else 1):
+                if best[t, k] <= ring.most:
+                    yield int(source[t, k]), new, int(best[t, k])
+            rest, best, source = np.delete(rest, k), np.delete(best, k, axis=1), np.delete(source, k, axis=1)
+
+
+def candidate_edges(prints: DataFrame, bits: int, most: int, sure: int, share: float, recall: float = 0.99, seed: int = 8) -> DataFrame:
+    """``(a, b, d)``: forest edges among wide fingerprints (rep, f0, f1, ...) within ``most`` differing bits.
 
     At such distances no segment need be equal, so candidates share the bits at k sampled places in one of several
-    tables: k follows the number of fingerprints (about 16 a bucket) and the number of tables the wanted recall at a
-    share of ``share`` (default most/bits) differing bits.  Every bucket is compared whole, whatever its size.
+    tables: k follows the number of fingerprints (about 16 a bucket), the number of tables the wanted recall at a
+    ``share`` of differing bits.  Every bucket is compared whole, whatever its size.
     """
     words = bits // 64
     n = max(prints.count(), 2)
     k = int(min(28, max(8, np.ceil(np.log2(n / 16)))))
-    hit = (1 - (share or most / bits)) ** k
-    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - hit)))
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - share) ** k)))
     rng = np.random.default_rng(seed)
     places = [sorted(rng.choice(bits, size=k, replace=False).tolist()) for _ in range(tables)]
-    schema = pa.schema([("tab", pa.int32()), ("key", pa.int64()), ("rep", pa.int64())] + [(f"f{i}", pa.int64()) for i in range(words)])
+    names = [f"f{i}" for i in range(words)]
+    schema = pa.schema([("tab", pa.int32()), ("key", pa.int64()), ("rep", pa.int64())] + [(c, pa.int64()) for c in names])
+    ring = Ring(bits, bits // 16, most)
 
     def make(batch):
         f = [batch.column(1 + i).to_numpy().view(np.uint64) for i in range(words)]
@@ -266,8 +325,59 @@ def sampled_edges(prints: DataFrame, bits: int, most: int, recall: float = 0.99,
                 key |= ((f[b // 64] >> np.uint64(b % 64)) & np.uint64(1)) << np.uint64(j)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(key.view(np.int64)), *batch.columns], schema=schema)
 
-    rows = prints.select("rep", *[f"f{i}" for i in range(words)]).mapInArrow(per_batch(make, schema, 4096), "tab int, key long, rep long, " + ", ".join(f"f{i} long" for i in range(words)))
-    return _bucket_edges(rows, ["tab", "key"], words, Ring(bits, bits // 16, most), False)
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_keys(batches, ["tab", "key"]):
+            key = np.stack([whole.column("tab").to_numpy(), whole.column("key").to_numpy()], axis=1)
+            same = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(axis=1))])
+            f = np.stack([whole.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
+            rep = whole.column("rep").to_numpy()
+            edges = np.array(list(forest_rows(same, f, ring, sure)), dtype=np.int64).reshape(-1, 3)
+            ends = np.sort(rep[edges[:, :2]], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(edges[:, 2].astype(np.int32))], schema=out)
+
+    ddl = "tab int, key long, rep long, " + ", ".join(f"{c} long" for c in names)
+    rows = prints.select("rep", *names).mapInArrow(per_batch(make, schema, 4096), ddl)
+    dealt = rows.repartition("tab", "key").sortWithinPartitions("tab", "key")
+    return dealt.mapInArrow(run, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
+
+
+def jaccard(x: str, y: str, words: int) -> float:
+    """Similarity of two texts' sets of shingles; of two texts without words 1."""
+    a, b = np.unique(shingle_hashes(x, words)), np.unique(shingle_hashes(y, words))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, component_id)`` of every row with an id: components of texts whose shingle sets are at least as similar.
+
+    Fingerprints of ``bits`` bits find candidates, pigeonring chains prune them, and edges whose distance leaves the
+    similarity open are checked against the texts.  At a similarity s the share of differing bits is acos(c)/pi with
+    c = 2s/(1+s), give or take; edges well under it are sure, edges well over it are none.
+    """
+    n = bits // 64
+    names = [f"f{i}" for i in range(n)]
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    most, sure = round(bits * share * 1.35), round(bits * share * 0.65)
+    prints = stored(fingerprints(docs, words, bits, id_col, text_col), "fingerprints").where("doc_id IS NOT NULL")
+    classes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "fingerprint-classes")
+    edges = stored(candidate_edges(classes, bits, most, sure, share * 1.1), "similar-candidates")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def make(batch):
+        x, y = (batch.column(i).to_pylist() for i in (2, 3))
+        yield batch.filter(pa.array([jaccard(p or "", q or "", words) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_())).select([0, 1])
+
+    texts = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs[text_col]).alias("text"))
+    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    open_ = edges.where(F.col("d") > sure).join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    checked = open_.mapInArrow(per_batch(make, schema), "a long, b long")
+    links = edges.where(F.col("d") <= sure).select("a", "b").union(checked)
+    found = connected_components(links, "a", "b")
+    of = stored(classes.join(found, classes["rep"] == found["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id")), "fingerprint-components")
+    return prints.join(of, names).select("doc_id", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 64, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,19 +391,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 64, most: int =
     prints = stored(fingerprints(docs, words, bits, id_col, text_col), "fingerprints")
     classes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "fingerprint-classes")
     named = classes.where("rep IS NOT NULL")
-    edges = hamming_edges(named, bits, most) if n == 1 else sampled_edges(named, bits, most)
+    edges = hamming_edges(named, bits, most)
     found = connected_components(edges, "a", "b")
     of = stored(classes.join(found, classes["rep"] == found["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id")), "fingerprint-components")
     shown = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in names])
     return prints.join(of, names).select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, bits: int = 256, most: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept if one document of each group of near duplicates stays (the smallest id).
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept if one document of each group of similar texts stays (the smallest id).
 
-    Five-word shingles at a similarity of 0.8 differ in about 39 of 256 bits.  Columns stay as they are; rows with a
-    null id stay; of rows that share an id all or none stay.
+    Columns stay as they are; rows with a null id stay; of rows that share an id all or none stay.
     """
-    found = near_duplicates(docs, words, bits, most, id_col, text_col)
+    found = similar_texts(docs, words, similarity, id_col=id_col, text_col=text_col)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")

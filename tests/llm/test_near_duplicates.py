@@ -117,6 +117,40 @@ def test_keep_one_of_each_group(spark):
     assert kept.where("doc_id IS NULL").count() == 1
 
 
+def test_similar_texts_against_all_pairs(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(2000)]
+    texts = ["", None, "one", "one", "few words here"]
+    for _ in range(25):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(100, 300))]
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randint(0, len(base) // 15)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+    df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, component_id string")
+    similar = {(a, b): simhash.jaccard(texts[a] or "", texts[b] or "", 5) for a in range(len(texts)) for b in range(a)}
+    want = closure(range(len(texts)), [p for p, s in similar.items() if s >= 0.8])
+    found = dict(map(tuple, simhash.similar_texts(df).collect()))
+    assert sum(found[i] == want[i] for i in want) >= len(want) - 2  # the candidate search misses about one link in a hundred
+    assert sum(0.7 < s < 0.9 for s in similar.values()) > 30
+    for i, c in found.items():  # and never links what isn't similar
+        assert want[i] == want[c]
+
+
+def test_forests_of_broad_and_small_buckets_agree(monkeypatch):
+    rng = np.random.default_rng(3)
+    f = rng.integers(0, 2**63, (60, 8), dtype=np.uint64)
+    f = np.concatenate([f, f ^ np.uint64(1 << 40), f ^ np.uint64(0xFF00FF)])
+    ring = simhash.Ring(512, 32, 100)
+    key = np.sort(rng.integers(0, 3, len(f)))
+    small = list(simhash.forest_rows(key, f, ring, forests=1))
+    monkeypatch.setattr(simhash, "BROAD", 1)
+    broad = list(simhash.forest_rows(key, f, ring, forests=1))
+    assert sorted(d for *_, d in small) == sorted(d for *_, d in broad)
+    assert closure(range(len(f)), [e[:2] for e in small]) == closure(range(len(f)), [e[:2] for e in broad])
+
+
 def brute(rows, threshold):
     ok = {}
     for i, v in rows:
