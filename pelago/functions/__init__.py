@@ -1,0 +1 @@
+"""Typed scalar functions, operators and casts over Spark columns."""

@@ -70,8 +70,7 @@ def _size(t: PgType) -> tuple[int, int]:
 
 
 def _truncated(x: Column, y: Column) -> Column:
-    # (x - x % y) is a multiple of y, so the decimal quotient is exact
-    return ((x - x % y).cast("decimal(20,0)") / y.cast("decimal(20,0)")).cast("long")
+    return F.call_function("div", x, y)
 
 
 def _finite(value: Column, x: Column, y: Column) -> Column:

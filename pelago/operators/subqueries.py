@@ -34,7 +34,7 @@ def _summary(r: Relation, column: Column, **more: Column) -> Column:
     return r.df.agg(F.struct(*(v.alias(k) for k, v in parts.items())).alias("s")).scalar()
 
 
-def _matched(a: Val, r: Relation) -> tuple[Val, Val]:
+def matched(a: Val, r: Relation) -> tuple[Val, Val]:
     b = Val(F.col(_only(r).column), _only(r).type)
     if UNKNOWN in (a.type, b.type) and a.type != b.type:
         a, b = (cast(a, b.type), b) if a.type == UNKNOWN else (a, cast(b, a.type))
@@ -42,9 +42,16 @@ def _matched(a: Val, r: Relation) -> tuple[Val, Val]:
     return a, b
 
 
+def never_null(a: Val, r: Relation) -> Column:
+    """Whether ``a NOT IN (r)`` is true for an ``a`` that equals no value of ``r``."""
+    a, b = matched(a, r)
+    s = _summary(r, b.col)
+    return (s["c"] == 0) | (a.col.isNotNull() & (s["nn"] == s["c"]))
+
+
 def member(a: Val, r: Relation, negated: bool, semi: Column) -> Val:
     """``a [NOT] IN (r)`` in three-valued logic, given whether an equal value exists."""
-    a, b = _matched(a, r)
+    a, b = matched(a, r)
     s = _summary(r, b.col)
     unknown = a.col.isNull() | (s["nn"] < s["c"])
     value = F.when(semi, True).when(s["c"] == 0, False).when(unknown, F.lit(None).cast("boolean")).otherwise(False)
@@ -53,7 +60,7 @@ def member(a: Val, r: Relation, negated: bool, semi: Column) -> Val:
 
 def quantified(a: Val, op: str, every: bool, r: Relation) -> Val:
     """``a op ANY (r)`` and ``a op ALL (r)`` from the count, the count of non-nulls, the minimum and the maximum."""
-    a, b = _matched(a, r)
+    a, b = matched(a, r)
     s = _summary(r, b.col, mn=F.min(b.col), mx=F.max(b.col))
     low, high = Val(s["mn"], b.type), Val(s["mx"], b.type)
 

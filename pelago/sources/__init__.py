@@ -1,0 +1 @@
+"""Foreign tables."""
