@@ -12,8 +12,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows in a batch that Spark sends to Python, and bytes of one that an operator works on at a time.
+BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's batches to ``BATCH_ROWS`` rows: they hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder, through Spark's own reader (any file system Spark knows)."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,23 +54,23 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
-def per_batch(make: Callable[[pa.RecordBatch], Iterable[dict | pa.RecordBatch]], schema: pa.Schema, rows: int = 512) -> Callable:
-    """A ``mapInArrow`` function: ``make`` gets batches of at most ``rows`` rows, so memory doesn't follow Spark's batch size."""
+def per_batch(make: Callable[[pa.RecordBatch], Iterable[dict | pa.RecordBatch]], schema: pa.Schema | None, rows: int = 512) -> Callable:
+    """A ``mapInArrow`` function: ``make`` gets batches of at most ``rows`` rows and about BATCH_BYTES (or one row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                for out in make(batch.slice(at, rows)):
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, rows)
+                while part.num_rows > 1 and part.nbytes > BATCH_BYTES:
+                    part = batch.slice(at, part.num_rows // 2)
+                at += part.num_rows
+                for out in make(part):
                     yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out, schema=schema)
 
     return run
 
 
-def strings(column: pa.Array) -> list[str]:
-    """The column's texts, null as empty."""
-    return [x or "" for x in column.to_pylist()]
-
-
 def whole_keys(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 50_000) -> Iterator[pa.Table]:
     """Sorted batches gathered into tables of about ``rows`` rows or more, cut only where the key changes."""
     held: list[pa.RecordBatch] = []

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, text_or_empty
+from .common import bounded_batches, per_batch, text_or_empty
 from .sample import bounded_sample, remainder
 
 WINDOW = 256
@@ -178,13 +178,19 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
 
 
 def keep_identified(docs: DataFrame, net: ByteNet | None, floor: float = 0.4, text_col: str = "text") -> DataFrame:
-    """The rows whose text has a language with a score of at least ``floor``; columns stay as they are."""
+    """The rows whose text has a language with a score of at least ``floor``; columns stay as they are.  Where nothing
+    could be learned, the rows whose text has a letter."""
+    bounded_batches(docs.sparkSession)
     tables = net.tables() if net else None
     shared = docs.sparkSession.sparkContext.broadcast((net, tables))
     at = docs.columns.index(text_col)
 
     def make(batch):
         langs, scores = _predict(*shared.value, [x or "" for x in batch.column(at).to_pylist()])
-        yield batch.filter(pa.array([a != "und" and b >= floor for a, b in zip(langs, scores, strict=True)], pa.bool_()))
+        if shared.value[0] is None:
+            keep = [bool(x and _LETTER.search(x)) for x in batch.column(at).to_pylist()]
+        else:
+            keep = [a != "und" and b >= floor for a, b in zip(langs, scores, strict=True)]
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(per_batch(make, None), docs.schema)

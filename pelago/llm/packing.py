@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_batch, stored, text_or_empty
+from .common import bounded_batches, per_batch, stored, text_or_empty
 from .library import tokenizer
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times) in order of placement
@@ -224,6 +224,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     Pieces of a sequence follow one another from offset 0 without gaps.  Null and empty texts are one piece (the end
     id); repeated rows and null ids are packed like any others; no documents give no rows.
     """
+    bounded_batches(docs.sparkSession)
     pieces = stored(cut_pieces(docs, path, capacity, end_id, id_col, text_col), "pieces")
     sums = stored(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
     counts = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows

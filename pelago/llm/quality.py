@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, text_or_empty
+from .common import bounded_batches, per_batch, text_or_empty
 from .sample import bounded_sample, remainder
 from .wordtable import _M1, _M2, KEPT_BYTES, Words
 
@@ -170,6 +170,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine | None, id_col: s
 
 def keep_good(docs: DataFrame, model: FactorisationMachine | None, floor: float = 0.5, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The rows whose text scores at least ``floor``; columns stay as they are."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     at, size = names.index(text_col), names.index(chars_col) if chars_col in names else None

@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_batch, stored, text_or_empty, whole_keys
+from .buckets import split_crowded
+from .common import bounded_batches, per_batch, stored, text_or_empty, whole_keys
 from .components import connected_components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -193,32 +194,41 @@ def link_rows(key: np.ndarray, f: np.ndarray, ring: Ring, start_of) -> Iterator[
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _bucket_edges(rows: DataFrame, key_cols: list[str], words: int, ring: Ring, fixed_start: bool) -> DataFrame:
-    """Tree edges between ``rep``s of rows with equal keys; rows are dealt and sorted by key, buckets pass batch ends."""
+def _bucket_edges(rows: DataFrame, ring: Ring) -> DataFrame:
+    """Tree edges between ``rep``s of rows (tab, key, one, two, rep, f0) with equal keys, which begin with a table's
+    number; the table is the segment that a chain starts from."""
+    keys = ["tab", "key", "one", "two"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in whole_keys(batches, ["tab", "key"]):
+        for whole in whole_keys(batches, keys):
             table = whole.column("tab").to_numpy()
-            key = np.stack([table, whole.column("key").to_numpy()], axis=1)
-            same = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(axis=1))])
-            f = np.stack([whole.column(f"f{i}").to_numpy() for i in range(words)], axis=1).view(np.uint64)
+            f = whole.column("f0").to_numpy().view(np.uint64).reshape(-1, 1)
             rep = whole.column("rep").to_numpy()
-            pairs = np.array(list(link_rows(same, f, ring, table % ring.segments if fixed_start else None)), dtype=np.int64).reshape(-1, 2)
+            pairs = np.array(list(link_rows(_groups(whole, keys), f, ring, table)), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(rep[pairs[:, 0]]), pa.array(rep[pairs[:, 1]])], schema=EDGES)
 
-    dealt = rows.repartition(*[F.col(c) for c in key_cols]).sortWithinPartitions(*key_cols)
-    return dealt.select("tab", "key", "rep", *[f"f{i}" for i in range(words)]).mapInArrow(run, "a long, b long")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, "rep", "f0").mapInArrow(run, "a long, b long")
+
+
+def _groups(whole: pa.Table, keys: list[str]) -> np.ndarray:
+    """The number of each row's group in a sorted table."""
+    values = np.stack([whole.column(k).to_numpy() for k in keys], axis=1)
+    return np.concatenate([[0], np.cumsum((values[1:] != values[:-1]).any(axis=1))])
 
 
 #: A bucket with more rows is refined by the next segment of its chain.
 CROWDED = 1 << 16
+#: A bucket of the candidate search with more rows is split into blocks.
+DENSE = 20_000
 
 
 def hamming_edges(prints: DataFrame, bits: int, most: int) -> DataFrame:
     """Edges that link all fingerprints ``(rep, f0)`` of 64 bits within ``most`` differing bits; exact.
 
     Keys are (segment, its value).  In a crowded bucket the next segment may differ in at most budget(2) <= 1 bits, so
-    rows are dealt on by that segment with each single bit masked in turn; no link is lost.
+    rows are dealt on by that segment with each single bit masked in turn, and what is still crowded by pairs of blocks; no
+    link is lost.
     """
     if bits != 64:
         raise ValueError("exact search is for fingerprints of 64 bits")
@@ -231,21 +241,22 @@ def hamming_edges(prints: DataFrame, bits: int, most: int) -> DataFrame:
     keyed = prints.select("rep", "f0", F.explode(F.array(*[F.struct(F.lit(s).alias("tab"), segment(s).alias("key")) for s in range(ring.segments)])).alias("k")).select("rep", "f0", "k.tab", "k.key")
     counts = keyed.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED)
     crowded = stored(counts, "simhash-crowded")
-    if ring.budget(2) > 1 or not crowded.head(1):
-        return _bucket_edges(keyed, ["tab", "key"], 1, ring, True)
+    whole_buckets = {"one": F.lit(0), "two": F.lit(0)}
+    if not crowded.head(1):
+        return _bucket_edges(keyed.withColumns(whole_buckets), ring)
     marked = keyed.join(crowded, ["tab", "key"], "left")
-    plain = marked.where("n IS NULL").select("tab", "key", "rep", "f0")
+    plain = marked.where("n IS NULL").select("tab", "key", "rep", "f0").withColumns(whole_buckets)
 
-    def refined(s: int):
+    def refined(s: int) -> DataFrame:
         follow = (s + 1) % ring.segments
-        bit = [F.lit(1 << b) for b in range(ring.sizes[follow])]
-        masked = [segment(follow).bitwiseAND(F.bitwise_not(b)) + F.lit((i + 1) << 20) + F.shiftleft(F.col("key"), 32) for i, b in enumerate(bit)]
-        return marked.where((F.col("n").isNotNull()) & (F.col("tab") == s)).select("tab", F.explode(F.array(*masked)).alias("key"), "rep", "f0")
+        masked = [segment(follow).bitwiseAND(F.lit(~(1 << i))) + F.lit((i + 1) << 20) + F.shiftleft(F.col("key"), 32) for i in range(ring.sizes[follow])]
+        return marked.where(F.col("n").isNotNull() & (F.col("tab") == s)).select("tab", F.explode(F.array(*masked)).alias("key"), "rep", "f0")
 
-    whole = plain
-    for s in range(ring.segments):
-        whole = whole.union(refined(s).select("tab", "key", "rep", "f0"))
-    return _bucket_edges(whole, ["tab", "key"], 1, ring, True)
+    dense = refined(0) if ring.budget(2) <= 1 else marked.where("n IS NOT NULL").select("tab", "key", "rep", "f0")
+    for s in range(1, ring.segments if ring.budget(2) <= 1 else 1):
+        dense = dense.union(refined(s))
+    dense = split_crowded(dense, ["tab", "key"], "rep", CROWDED).select("tab", "key", "rep", "f0", "one", "two")
+    return _bucket_edges(plain.union(dense), ring)
 
 
 def forest_rows(key: np.ndarray, f: np.ndarray, ring: Ring, sure: int = 0, forests: int = 3) -> Iterator[tuple[int, int, int]]:
@@ -305,7 +316,7 @@ def candidate_edges(prints: DataFrame, bits: int, most: int, sure: int, share: f
 
     At such distances no segment need be equal, so candidates share the bits at k sampled places in one of several
     tables: k follows the number of fingerprints (about 16 a bucket), the number of tables the wanted recall at a
-    ``share`` of differing bits.  Every bucket is compared whole, whatever its size.
+    ``share`` of differing bits.  Every bucket is compared whole, a crowded one by pairs of blocks.
     """
     words = bits // 64
     n = max(prints.count(), 2)
@@ -325,21 +336,28 @@ def candidate_edges(prints: DataFrame, bits: int, most: int, sure: int, share: f
                 key |= ((f[b // 64] >> np.uint64(b % 64)) & np.uint64(1)) << np.uint64(j)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(key.view(np.int64)), *batch.columns], schema=schema)
 
+    bare = pa.schema([("tab", pa.int32()), ("key", pa.int64())])
+
+    def keys_only(batch):
+        for part in make(batch):
+            yield part.select([0, 1])
+
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.int32())])
+    keys = ["tab", "key", "one", "two"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in whole_keys(batches, ["tab", "key"]):
-            key = np.stack([whole.column("tab").to_numpy(), whole.column("key").to_numpy()], axis=1)
-            same = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]).any(axis=1))])
+        for whole in whole_keys(batches, keys):
             f = np.stack([whole.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
             rep = whole.column("rep").to_numpy()
-            edges = np.array(list(forest_rows(same, f, ring, sure)), dtype=np.int64).reshape(-1, 3)
+            edges = np.array(list(forest_rows(_groups(whole, keys), f, ring, sure)), dtype=np.int64).reshape(-1, 3)
             ends = np.sort(rep[edges[:, :2]], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(edges[:, 2].astype(np.int32))], schema=out)
 
-    ddl = "tab int, key long, rep long, " + ", ".join(f"{c} long" for c in names)
-    rows = prints.select("rep", *names).mapInArrow(per_batch(make, schema, 4096), ddl)
-    dealt = rows.repartition("tab", "key").sortWithinPartitions("tab", "key")
+    picked = prints.select("rep", *names)
+    rows = picked.mapInArrow(per_batch(make, schema, 4096), "tab int, key long, rep long, " + ", ".join(f"{c} long" for c in names))
+    counted = picked.mapInArrow(per_batch(keys_only, bare, 4096), "tab int, key long")
+    rows = split_crowded(rows, ["tab", "key"], "rep", DENSE, counted).select(*keys, "rep", *names)
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
@@ -357,6 +375,7 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits
     similarity open are checked against the texts.  At a similarity s the share of differing bits is acos(c)/pi with
     c = 2s/(1+s), give or take; edges well under it are sure, edges well over it are none.
     """
+    bounded_batches(docs.sparkSession)
     n = bits // 64
     names = [f"f{i}" for i in range(n)]
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_batch, stored
+from .common import bounded_batches, per_batch, stored
 
 _CUT = re.compile(r"([.!?]+[ \t]+|\n\s*)")
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -97,6 +97,7 @@ def remove_repeated_spans(docs: DataFrame, min_words: int = 20, id_col: str = "d
     stay as they are; rows with a null id stay as they are and make nobody else's spans repeated; rows that share an id
     count as one document.  A text that is repeated as a whole becomes empty; its row stays.
     """
+    bounded_batches(docs.sparkSession)
     places = stored(repeated_places(docs, min_words, id_col, text_col), "spans-places").select(F.col("doc_id").alias("__doc"), F.col("places").alias("__places"))
     joined = docs.join(places, docs[id_col].cast("long") == F.col("__doc"), "left").drop("__doc")
     names, chars = docs.columns, chars_col if chars_col in docs.columns else None

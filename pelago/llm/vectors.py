@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import split_crowded
 from .common import per_batch, stored, whole_keys
 from .components import connected_components
 
@@ -128,15 +129,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
     named = classes.where("rep IS NOT NULL").select(F.col("digest").alias("d"), "rep", "n")
     one = stored(rows.join(named, (rows["digest"] == named["d"]) & (rows["vec_id"] == named["rep"])).select("rep", "n", "dim", "vec", "signs"), "vector-representatives")
     keyed = one.select("*", F.posexplode("signs").alias("tab", "sign")).withColumn("key", F.col("dim").cast("long") * (1 << 32) + F.col("sign")).drop("sign", "dim")
-    crowded = stored(keyed.groupBy("tab", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > CROWDED), "vector-crowded")
-    if crowded.head(1):
-        parts = F.ceil(F.col("rows") / CROWDED).cast("int")
-        keyed = keyed.join(crowded, ["tab", "key"], "left").withColumn("parts", F.coalesce(parts, F.lit(1)))
-        keyed = keyed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int"))
-        keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        keyed = keyed.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    else:
-        keyed = keyed.withColumns({"block": F.lit(0), "one": F.lit(0), "two": F.lit(0)})
+    signs = one.select(F.posexplode("signs").alias("tab", "sign"), "dim").select("tab", (F.col("dim").cast("long") * (1 << 32) + F.col("sign")).alias("key"))
+    keyed = split_crowded(keyed, ["tab", "key"], "rep", CROWDED, signs)
     keys = ["tab", "key", "one", "two"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

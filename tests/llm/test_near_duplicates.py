@@ -117,7 +117,9 @@ def test_keep_one_of_each_group(spark):
     assert kept.where("doc_id IS NULL").count() == 1
 
 
-def test_similar_texts_against_all_pairs(spark):
+@pytest.mark.parametrize("dense", [20_000, 4])
+def test_similar_texts_against_all_pairs(spark, monkeypatch, dense):
+    monkeypatch.setattr(simhash, "DENSE", dense)
     rng = random.Random(12)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(2000)]
     texts = ["", None, "one", "one", "few words here"]

@@ -52,6 +52,7 @@ def test_language(spark, docs):
     assert kept.where("doc_id < 1000").count() >= 235
     assert language.fit_languages(docs.limit(0)) is None
     assert {r.lang_pred for r in language.identify(docs.limit(3), None).collect()} == {"und"}
+    assert language.keep_identified(docs, None).count() == docs.count() - 3
 
 
 def test_windows_cover_every_byte():
