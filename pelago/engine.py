@@ -14,10 +14,12 @@ from .errors import SqlError, sqlstate
 from .functions.casts import cast
 from .functions.registry import Context
 from .operators.relation import scan
+from .operators.sets import known
 from .plans import syntax as s
 from .plans.analyzer import Analyzer, Scope, walk
 from .plans.parser import parse
 from .sources.foreign import ForeignCatalog
+from .sources.kafka import bounds_of
 from .types import UNKNOWN, PgType, Val, is_number
 
 
@@ -49,6 +51,7 @@ class Engine:
         self.saved: dict[str, Table] | None = None
         self.failed = False
         self.began: dt.datetime | None = None
+        self.zones = (self._zone(),) * 2  # before the open block, and after it if it commits
 
     # -- tables
 
@@ -59,14 +62,18 @@ class Engine:
         for name in names:
             self.register(name, self.spark.read.parquet(f"{folder}/{name}.parquet"))
 
-    def _lookup(self, name: str):
+    def _lookup(self, name: str, where=None):
         if name in self.tables:
             return self.tables[name].df, self.tables[name].types
-        found = self.foreign.scan(self.spark, name)
-        return found
+        return self.foreign.scan(self.spark, name, bounds_of(where)) if self.foreign.has(name) else None
 
     # -- statements
 
+    def describe(self, text: str) -> list[tuple[str, str]]:
+        """Names and types of a query's columns, without running it."""
+        (query,) = parse(text)
+        return [(b.name, str(b.type)) for b in known(self._analyzer().query(query)).shown]
+
     def sql(self, text: str) -> DataFrame:
         """The rows of one query."""
         out = self.execute(text)
@@ -132,26 +139,35 @@ class Engine:
         if isinstance(st, s.Show):
             if st.name != "timezone":
                 raise SqlError("42704", f'unrecognized configuration parameter "{st.name}"')
-            return self.spark.createDataFrame([(self.spark.conf.get("spark.sql.session.timeZone"),)], "TimeZone string")
+            return self.spark.createDataFrame([(self._zone(),)], "TimeZone string")
         return self.foreign.run(st)
 
     def _transaction(self, what: str) -> str:
         if what == "begin":
             if self.saved is None:
                 self.saved, self.began = dict(self.tables), dt.datetime.now(dt.timezone.utc)
+                self.zones = (self._zone(),) * 2
             return "BEGIN"
         back = what == "rollback" or self.failed
-        if back and self.saved is not None:
-            self.tables = self.saved
+        if self.saved is not None:
+            if back:
+                self.tables = self.saved
+            self.spark.conf.set("spark.sql.session.timeZone", self.zones[0 if back else 1])
         self.saved, self.failed, self.began = None, False, None
         return "ROLLBACK" if back else "COMMIT"
 
+    def _zone(self) -> str:
+        return self.spark.conf.get("spark.sql.session.timeZone")
+
     def _set(self, st: s.SetVar) -> str:
+        """SET lasts to the end of the session, SET LOCAL to that of the block; a rollback undoes both."""
         if st.name == "timezone":
             try:
                 self.spark.conf.set("spark.sql.session.timeZone", st.value or "UTC")
             except Exception as e:
                 raise SqlError("22023", f'invalid value for parameter "TimeZone": "{st.value}"') from e
+            if not st.local:
+                self.zones = (self.zones[0], self._zone())
             return "SET"
         allowed = {"datestyle": ("iso, mdy", "iso"), "intervalstyle": ("postgres",)}
         if st.name in allowed and (st.value is None or st.value.lower() in allowed[st.name]):

@@ -244,6 +244,7 @@ class Transaction:
 class SetVar:
     name: str
     value: str | None  # None: the default
+    local: bool = False
 
 
 @dataclass(frozen=True)

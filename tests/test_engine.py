@@ -141,6 +141,26 @@ def test_time_zone(spark):
         e.execute("RESET timezone")
 
 
+def test_set_in_a_block(spark):
+    e = Engine(spark)
+    zone = lambda: e.sql("SHOW TIME ZONE").collect()[0][0]
+    try:
+        e.execute("BEGIN; SET TIME ZONE 'Asia/Tokyo'; ROLLBACK")
+        assert zone() == "UTC"
+        e.execute("BEGIN; SET LOCAL TIME ZONE 'Asia/Tokyo'")
+        assert zone() == "Asia/Tokyo"
+        e.execute("COMMIT")
+        assert zone() == "UTC"
+        e.execute("BEGIN; SET TIME ZONE 'Asia/Tokyo'; COMMIT")
+        assert zone() == "Asia/Tokyo"
+    finally:
+        e.execute("RESET timezone")
+
+
+def test_describe_runs_nothing(engine):
+    assert engine.describe("SELECT id / 0 AS a, avg(id), min(name), NULL AS n, (SELECT max(id) FROM dept) AS m, interval '1 day' AS i, count(*) FROM emp GROUP BY id") == [("a", "int4"), ("avg", "numeric(38,16)"), ("min", "text"), ("n", "text"), ("m", "int4"), ("i", "interval"), ("count", "int8")]
+
+
 def test_names_of_columns(engine):
     assert engine.sql("SELECT id, id + 1, upper(name), count(*) AS n, 1::int8, 'x' FROM emp GROUP BY id, upper(name)").columns == ["id", "?column?", "upper", "n", "int8", "?column?"]
     assert engine.sql("VALUES (1, 2)").columns == ["column1", "column2"]

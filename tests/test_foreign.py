@@ -55,6 +55,11 @@ def test_foreign_tables(spark):
     e.execute("CREATE FOREIGN TABLE orders (id int4, total float8, more text) SERVER s OPTIONS (topic 'orders', value_format 'json')")
     rows = e.sql("SELECT _partition, _offset, id, total, more, _headers FROM orders WHERE _offset >= 0 ORDER BY _offset").collect()
     assert [tuple(r) for r in rows] == [(0, 0, 1, 10.5, '{"x":1}', '{"h":"\\\\x01"}'), (0, 1, 2, None, None, '{"h":"\\\\x01"}'), (0, 2, None, None, None, '{"h":"\\\\x01"}')]
+    asked = []
+    catalog.reader = lambda spark, options, bounds: (asked.append(bounds and bounds.partitions), topic(spark, options, bounds))[1]
+    assert e.sql("SELECT count(*) FROM orders WHERE _partition = 0 AND _offset >= 1").collect()[0][0] == 2
+    assert e.sql("SELECT count(*) FROM orders o JOIN orders p ON o._offset = p._offset WHERE o._partition = 0").collect()[0][0] == 3
+    assert asked == [{0: (1, None)}, None, None]
     e.execute("IMPORT FOREIGN SCHEMA public EXCEPT (skip) FROM SERVER s")
     assert sorted(catalog.tables) == ["events", "orders"]
     assert e.state_of("INSERT INTO orders VALUES (1)") == "42809" and e.state_of("CREATE SERVER s FOREIGN DATA WRAPPER kafka") == "42710" and e.state_of("ALTER SERVER s") == "0A000"
