@@ -1,8 +1,10 @@
 """Operator 10: remove sentences covered by runs of sentences that have occurred before, anywhere in the corpus.
 
-From every sentence on, the shortest run of sentences with at least ``min_words`` words is a span (so a span is several
-sentences, or one that is as long alone).  Every span is hashed, the hashes meet globally, and the first occurrence (by
-document id, then place) stays; the sentences of all others go.
+Sentences are cut at commas and semicolons too, so that a passage set into the middle of a longer sentence still shows.
+From every sentence on, and up to every sentence, the shortest run of sentences with at least ``min_words`` words is a
+span (so a span is several sentences, or one that is as long alone, and the spans within a passage reach all of its
+sentences).  Every span is hashed, the hashes meet globally, and the first occurrence (by document id, then place) stays;
+the sentences of all others go.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, per_batch, stored
 
-_CUT = re.compile(r"([.!?]+[ \t]+|\n\s*)")
+_CUT = re.compile(r"([.!?,;]+[ \t]+|\n\s*)")
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -40,14 +42,18 @@ def split_sentences(text: str) -> tuple[list[str], list[str]]:
 
 
 def spans(sentences: list[str], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(first sentence, end, 64-bit hash, 32-bit hash)`` of every span; blank sentences start none."""
+    """``(first sentence, end, 64-bit hash, 32-bit hash)`` of every span, in order; no span begins or ends blank."""
     n = len(sentences)
-    core = [s.strip(" \t.!?") for s in sentences]
+    core = [s.strip(" \t.!?,;") for s in sentences]
     words = np.fromiter((s.count(" ") + 1 if s else 0 for s in core), dtype=np.int64, count=n)
     total = np.concatenate([[0], np.cumsum(words)])
-    start = np.flatnonzero(words)
-    end = np.searchsorted(total, total[start] + min_words)
-    start, end = start[end <= n], end[end <= n]
+    some = np.flatnonzero(words)
+    end = np.searchsorted(total, total[some] + min_words)
+    start, end = some[end <= n], end[end <= n]
+    last = some[total[some + 1] >= min_words] + 1
+    first = np.searchsorted(total, total[last] - min_words, side="right") - 1
+    pairs = np.unique(np.concatenate([start, first]) * (n + 1) + np.concatenate([end, last]))
+    start, end = np.divmod(pairs, n + 1)
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(s) if s else 0 for s in core), dtype=np.uint64, count=n)
     number = np.concatenate([[0], np.cumsum(words > 0)])  # blank sentences don't count as places
@@ -70,10 +76,10 @@ def span_rows(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Da
     def make(batch):
         columns = [[], [], [], [], []]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            start, _, h, g = spans(split_sentences(text)[0], min_words)
+            _, _, h, g = spans(split_sentences(text)[0], min_words)
             again = np.ones(len(h), dtype=bool)
             again[np.unique(np.stack([h, g], axis=1), axis=0, return_index=True)[1] if len(h) else []] = False
-            for c, x in zip(columns, (h, g, np.full(len(h), doc, np.int64), start.astype(np.int32), again), strict=True):
+            for c, x in zip(columns, (h, g, np.full(len(h), doc, np.int64), np.arange(len(h), dtype=np.int32), again), strict=True):
                 c.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(columns, SPANS, strict=True)], schema=SPANS)
 
@@ -82,7 +88,7 @@ def span_rows(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> Da
 
 
 def repeated_places(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, places)``: where spans begin that are not the first of their kind."""
+    """``(doc_id, places)``: the numbers of the spans that are not the first of their kind."""
     rows = stored(span_rows(docs, min_words, id_col, text_col), "spans")
     first = rows.where("NOT again").groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     repeated = stored(first.select("h", "g", "first"), "spans-repeated")
@@ -112,9 +118,8 @@ def remove_repeated_spans(docs: DataFrame, min_words: int = 20, id_col: str = "d
             sentences, gaps = split_sentences(text)
             start, end, _, _ = spans(sentences, min_words)
             edge = np.zeros(len(sentences) + 1, dtype=np.int64)
-            hit = np.isin(start, starts)
-            np.add.at(edge, start[hit], 1)
-            np.add.at(edge, end[hit], -1)
+            np.add.at(edge, start[starts], 1)
+            np.add.at(edge, end[starts], -1)
             gone = np.cumsum(edge)[:-1] > 0
             texts[i] = "".join(s + g for s, g, x in zip(sentences, gaps, gone.tolist(), strict=True) if not x)
             removed[i] = int(sum(1 for s, x in zip(sentences, gone.tolist(), strict=True) if x and s))

@@ -108,23 +108,21 @@ def brute_spans(texts, min_words):
     seen, out = {}, {}
     for doc in sorted(texts):
         sentences, gaps = spans.split_sentences(texts[doc])
-        core = [s.strip(" \t.!?") for s in sentences]
+        core = [s.strip(" \t.!?,;") for s in sentences]
         gone = [False] * len(sentences)
         mine = set()
-        for i, c in enumerate(core):
-            if not c:
-                continue
-            run, n, j = [], 0, i
-            while j < len(core) and n < min_words:
-                if core[j]:
-                    run.append(core[j])
-                    n += core[j].count(" ") + 1
-                j += 1
-            if n < min_words:
-                continue
-            key = tuple(run)
+        full = [i for i, c in enumerate(core) if c]
+        words = [core[i].count(" ") + 1 for i in full]
+        found = set()
+        for i in range(len(full)):
+            forth = next((j for j in range(i, len(full)) if sum(words[i : j + 1]) >= min_words), None)
+            back = next((j for j in range(i, -1, -1) if sum(words[j : i + 1]) >= min_words), None)
+            found |= {(i, forth)} if forth is not None else set()
+            found |= {(back, i)} if back is not None else set()
+        for i, j in sorted(found):
+            key = tuple(core[k] for k in full[i : j + 1])
             if seen.get(key, doc) != doc or key in mine:
-                gone[i:j] = [True] * (j - i)
+                gone[full[i] : full[j] + 1] = [True] * (full[j] + 1 - full[i])
             seen.setdefault(key, doc)
             mine.add(key)
         out[doc] = "".join(s + g for s, g, x in zip(sentences, gaps, gone, strict=True) if not x)
@@ -135,9 +133,9 @@ def test_spans(spark):
     rng = random.Random(9)
     pool = [" ".join("".join(rng.choice("abcde") for _ in range(3)) for _ in range(rng.randint(1, 9))) for _ in range(60)]
     texts = {}
-    passage = "; ".join(pool[:1]) + ". " + ". ".join(pool[1:14]) + "!"
+    passage = pool[0] + ". " + ". ".join(pool[1:14]) + "!"
     for d in range(60):
-        parts = [rng.choice(pool) + rng.choice([". ", "! ", "\n", ".\n\n"]) for _ in range(rng.randint(0, 25))]
+        parts = [rng.choice(pool) + rng.choice([". ", "! ", ", ", "; ", "\n", ".\n\n"]) for _ in range(rng.randint(0, 25))]
         if d % 7 == 0:
             parts.insert(rng.randint(0, len(parts)), passage + "\n")
         texts[d] = "".join(parts)
@@ -153,6 +151,7 @@ def test_spans(spark):
     assert rows[None].text == texts[0] and rows[90].text is None
     inner = ". ".join(pool[1:14])
     assert sum(inner in rows[d].text for d in texts) == 1
+    assert sum(pool[13] + "!" in rows[d].text for d in range(0, 60, 7)) <= 4  # a passage goes to its last sentence
     assert spans.remove_repeated_spans(df.limit(0)).collect() == []
 
 
