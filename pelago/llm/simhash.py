@@ -315,12 +315,12 @@ def candidate_edges(prints: DataFrame, bits: int, most: int, sure: int, share: f
     """``(a, b, d)``: forest edges among wide fingerprints (rep, f0, f1, ...) within ``most`` differing bits.
 
     At such distances no segment need be equal, so candidates share the bits at k sampled places in one of several
-    tables: k follows the number of fingerprints (about 16 a bucket), the number of tables the wanted recall at a
+    tables: k follows the number of fingerprints (about 128 a bucket), the number of tables the wanted recall at a
     ``share`` of differing bits.  Every bucket is compared whole, a crowded one by pairs of blocks.
     """
     words = bits // 64
     n = max(prints.count(), 2)
-    k = int(min(28, max(8, np.ceil(np.log2(n / 16)))))
+    k = int(min(28, max(8, np.ceil(np.log2(n / 128)))))
     tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - share) ** k)))
     rng = np.random.default_rng(seed)
     places = [sorted(rng.choice(bits, size=k, replace=False).tolist()) for _ in range(tables)]
@@ -368,6 +368,31 @@ def jaccard(x: str, y: str, words: int) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
+#: Bits of the filter that keeps texts which no open edge asks for out of the shuffle; a fixed 8 MB.
+FILTER_BITS = 1 << 26
+
+
+def _asked_for(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose id is in ``ids``, and by chance a few others, without a shuffle of the texts."""
+
+    def place(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+    spots = ids.select(place("id").alias("h"))
+    maps = spots.groupBy(F.shiftright("h", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    whole = np.zeros(FILTER_BITS // 8, dtype=np.uint8)  # at most 2048 rows of 4 KB, whatever the input
+    for r in maps:
+        whole[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(whole)
+    schema = pa.schema([("id", pa.int64()), ("text", pa.string())])
+
+    def make(batch):
+        h = batch.column(2).to_numpy()
+        yield batch.filter(pa.array((shared.value[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool))).select([0, 1])
+
+    return texts.where("id IS NOT NULL").select("id", "text", place("id").alias("h")).mapInArrow(per_batch(make, schema), "id long, text string")
+
+
 def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, component_id)`` of every row with an id: components of texts whose shingle sets are at least as similar.
 
@@ -382,16 +407,18 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits
     most, sure = round(bits * share * 1.35), round(bits * share * 0.65)
     prints = stored(fingerprints(docs, words, bits, id_col, text_col), "fingerprints").where("doc_id IS NOT NULL")
     classes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "fingerprint-classes")
-    edges = stored(candidate_edges(classes, bits, most, sure, share * 1.1), "similar-candidates")
+    edges = stored(candidate_edges(classes, bits, most, sure, share), "similar-candidates")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def make(batch):
         x, y = (batch.column(i).to_pylist() for i in (2, 3))
         yield batch.filter(pa.array([jaccard(p or "", q or "", words) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_())).select([0, 1])
 
+    asked = edges.where(F.col("d") > sure).select("a", "b")
     texts = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs[text_col]).alias("text"))
+    texts = _asked_for(texts, asked.select(F.col("a").alias("id")).union(asked.select(F.col("b").alias("id"))))
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    open_ = edges.where(F.col("d") > sure).join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    open_ = asked.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     checked = open_.mapInArrow(per_batch(make, schema), "a long, b long")
     links = edges.where(F.col("d") <= sure).select("a", "b").union(checked)
     found = connected_components(links, "a", "b")
