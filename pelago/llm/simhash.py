@@ -312,7 +312,8 @@ def forest_rows(key: np.ndarray, f: np.ndarray, ring: Ring, sure: int = 0, fores
 
 
 def candidate_edges(prints: DataFrame, bits: int, most: int, sure: int, share: float, recall: float = 0.99, seed: int = 8) -> DataFrame:
-    """``(a, b, d)``: forest edges among wide fingerprints (rep, f0, f1, ...) within ``most`` differing bits.
+    """``(a, b, d)``: forest edges among wide fingerprints (rep, f0, f1, ...) within ``most`` differing bits; whatever pair
+    meets within them is linked by a path of such edges, so its loose component holds it.
 
     At such distances no segment need be equal, so candidates share the bits at k sampled places in one of several
     tables: k follows the number of fingerprints (about 128 a bucket), the number of tables the wanted recall at a
@@ -349,7 +350,7 @@ def candidate_edges(prints: DataFrame, bits: int, most: int, sure: int, share: f
         for whole in whole_keys(batches, keys):
             f = np.stack([whole.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
             rep = whole.column("rep").to_numpy()
-            edges = np.array(list(forest_rows(_groups(whole, keys), f, ring, sure)), dtype=np.int64).reshape(-1, 3)
+            edges = np.array(list(forest_rows(_groups(whole, keys), f, ring, sure, forests=1)), dtype=np.int64).reshape(-1, 3)
             ends = np.sort(rep[edges[:, :2]], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(edges[:, 2].astype(np.int32))], schema=out)
 
@@ -393,11 +394,86 @@ def _asked_for(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.where("id IS NOT NULL").select("id", "text", place("id").alias("h")).mapInArrow(per_batch(make, schema), "id long, text string")
 
 
+#: A loose component with more texts is dealt into pairs of blocks.
+BLOCK = 2048
+
+
+def similar_rows(sets: list[np.ndarray], part: np.ndarray, similarity: float) -> Iterator[tuple[int, int]]:
+    """Tree edges (row, row) that link all rows whose ``sets`` are at least as similar, beyond the links within a ``part``.
+
+    Every pair of rows of different components is measured, all of a row's at once by the rows that hold its members; rows
+    of the largest part need not ask, as each pair between components has a row outside it."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    row = np.repeat(np.arange(n), sizes)
+    place = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(place, kind="stable")
+    holders, cuts = row[order], np.concatenate([[0], np.cumsum(np.bincount(place))])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    of = np.unique(part, return_inverse=True)[1]
+    for i in np.flatnonzero(of != np.bincount(of).argmax()).tolist():
+        if (of == of[i]).all():
+            return
+        v = place[at[i] : at[i + 1]]
+        lengths = cuts[v + 1] - cuts[v]
+        v, lengths = v[lengths > 1], lengths[lengths > 1]
+        spots = np.repeat(cuts[v] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        both = np.bincount(holders[spots], minlength=n)
+        near = both / np.maximum(sizes + sizes[i] - both, 1) >= similarity
+        for j in np.flatnonzero(near & (of != of[i])).tolist():
+            if of[j] != of[i]:
+                yield i, j
+                of[of == of[j]] = of[i]
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members (id, loose, tight) of loose components that aren't one tight component, as (id, loose, tight, one, two): any two
+    of different tight components meet in a group (loose, one, two).  In a large loose component the largest tight one is
+    dealt into blocks, the rest into others, and all pairs of blocks but those within the largest are groups."""
+    counts = members.groupBy("loose", "tight").agg(F.count("*").alias("n"))
+    open_ = counts.groupBy("loose").agg(F.sum("n").alias("rows"), F.count("*").alias("parts"), F.max(F.struct("n", "tight")).alias("top")).where("parts > 1")
+    open_ = open_.select("loose", "rows", F.col("top.tight").alias("largest"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("k"), F.ceil((F.col("rows") - F.col("top.n")) / BLOCK).cast("int").alias("s"))
+    rows = members.join(open_, "loose").withColumn("inner", F.col("tight") == F.col("largest"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("inner"), F.col("k")).otherwise(F.col("s")).cast("long")).cast("int"))
+    own, k = F.col("own"), F.col("k")
+
+    def pair(one, two):
+        return F.struct(one.cast("int").alias("one"), two.cast("int").alias("two"))
+
+    others = F.sequence(F.lit(0), F.col("s") - 1)
+    outer = F.concat(
+        F.transform(F.sequence(F.lit(0), k - 1), lambda x: pair(x, own)),
+        F.transform(others, lambda j: pair(k + F.least(j, own), F.greatest(j, own))),
+    )
+    groups = F.when(F.col("rows") <= BLOCK, F.array(pair(F.lit(0), F.lit(0)))).when(F.col("inner"), F.transform(others, lambda j: pair(own, j))).otherwise(outer)
+    return rows.select("id", "loose", "tight", F.explode(groups).alias("g")).select("id", "loose", "tight", "g.one", "g.two")
+
+
+def closing_links(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``(a, b)``: the links by the texts' own similarity that ``tight`` components of a ``loose`` one still lack; exact."""
+    keys = ["loose", "one", "two"]
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_keys(batches, keys, 2 * BLOCK):
+            cuts = np.searchsorted(group := _groups(whole, keys), np.arange(group[-1] + 2))
+            ids, tight = whole.column("id").to_numpy(), whole.column("tight").to_numpy()
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                sets = [np.unique(shingle_hashes(x or "", words)) for x in whole.column("text").slice(lo, hi - lo).to_pylist()]
+                found = np.array(list(similar_rows(sets, tight[lo:hi], similarity)), dtype=np.int64).reshape(-1, 2) + lo
+                yield pa.RecordBatch.from_arrays([pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], schema=schema)
+
+    dealt = stored(_dealt(members), "similar-open")
+    rows = dealt.join(_asked_for(texts, dealt.select("id")), "id").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.select(*keys, "id", "tight", "text").mapInArrow(run, "a long, b long")
+
+
 def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, component_id)`` of every row with an id: components of texts whose shingle sets are at least as similar.
 
     Fingerprints of ``bits`` bits find candidates, pigeonring chains prune them, and edges whose distance leaves the
-    similarity open are checked against the texts.  At a similarity s the share of differing bits is acos(c)/pi with
+    similarity open are checked against the texts.  Where that leaves a component of candidates in parts, all pairs of
+    texts between the parts are measured, so a failed edge costs no link.  At a similarity s the share of differing bits is acos(c)/pi with
     c = 2s/(1+s), give or take; edges well under it are sure, edges well over it are none.
     """
     bounded_batches(docs.sparkSession)
@@ -416,12 +492,16 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits
 
     asked = edges.where(F.col("d") > sure).select("a", "b")
     texts = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs[text_col]).alias("text"))
-    texts = _asked_for(texts, asked.select(F.col("a").alias("id")).union(asked.select(F.col("b").alias("id"))))
-    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    wanted = _asked_for(texts, asked.select(F.col("a").alias("id")).union(asked.select(F.col("b").alias("id"))))
+    left, right = wanted.select(F.col("id").alias("a"), F.col("text").alias("x")), wanted.select(F.col("id").alias("b"), F.col("text").alias("y"))
     open_ = asked.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     checked = open_.mapInArrow(per_batch(make, schema), "a long, b long")
     links = edges.where(F.col("d") <= sure).select("a", "b").union(checked)
-    found = connected_components(links, "a", "b")
+    tight = connected_components(links, "a", "b").withColumnRenamed("component", "tight")
+    loose = connected_components(edges, "a", "b").withColumnRenamed("component", "loose")
+    members = loose.join(tight, "node", "left").select(F.col("node").alias("id"), "loose", F.coalesce("tight", "node").alias("tight"))
+    more = closing_links(stored(members, "similar-members"), texts, words, similarity)
+    found = connected_components(tight.select(F.col("node").alias("a"), F.col("tight").alias("b")).union(more), "a", "b")
     of = stored(classes.join(found, classes["rep"] == found["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id")), "fingerprint-components")
     return prints.join(of, names).select("doc_id", "component_id")
 

@@ -140,6 +140,26 @@ def test_similar_texts_against_all_pairs(spark, monkeypatch, dense):
         assert want[i] == want[c]
 
 
+@pytest.mark.parametrize("block", [2048, 24])
+def test_pairs_among_texts_just_under_the_similarity(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng = random.Random(21)
+    shared = [f"w{i}" for i in range(1000)]
+    rows = []
+    for g in range(60):  # a common template, and an ending of one's own that pairs share in part
+        ending = [f"e{g}x{i}" for i in range(133)]
+        rows.append(shared + ending)
+        if g < 20:
+            rows.append(shared + ending[:40] + [f"f{g}x{i}" for i in range(93)])
+    rng.shuffle(rows)
+    texts = [" ".join(r) for r in rows]
+    similar = {(a, b): simhash.jaccard(texts[a], texts[b], 5) for a in range(len(texts)) for b in range(a)}
+    assert sum(s >= 0.8 for s in similar.values()) == 20 and sum(0.76 < s < 0.8 for s in similar.values()) > 3000
+    want = closure(range(len(texts)), [p for p, s in similar.items() if s >= 0.8])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert dict(map(tuple, simhash.similar_texts(df).collect())) == want
+
+
 def test_forests_of_broad_and_small_buckets_agree(monkeypatch):
     rng = np.random.default_rng(3)
     f = rng.integers(0, 2**63, (60, 8), dtype=np.uint64)
