@@ -311,7 +311,7 @@ def forest_rows(key: np.ndarray, f: np.ndarray, ring: Ring, sure: int = 0, fores
             rest, best, source = np.delete(rest, k), np.delete(best, k, axis=1), np.delete(source, k, axis=1)
 
 
-def candidate_edges(prints: DataFrame, bits: int, most: int, sure: int, share: float, recall: float = 0.99, seed: int = 8) -> DataFrame:
+def candidate_edges(prints: DataFrame, bits: int, most: int, share: float, recall: float = 0.99, seed: int = 8) -> DataFrame:
     """``(a, b, d)``: forest edges among wide fingerprints (rep, f0, f1, ...) within ``most`` differing bits; whatever pair
     meets within them is linked by a path of such edges, so its loose component holds it.
 
@@ -350,7 +350,7 @@ def candidate_edges(prints: DataFrame, bits: int, most: int, sure: int, share: f
         for whole in whole_keys(batches, keys):
             f = np.stack([whole.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
             rep = whole.column("rep").to_numpy()
-            edges = np.array(list(forest_rows(_groups(whole, keys), f, ring, sure, forests=1)), dtype=np.int64).reshape(-1, 3)
+            edges = np.array(list(forest_rows(_groups(whole, keys), f, ring, forests=1)), dtype=np.int64).reshape(-1, 3)
             ends = np.sort(rep[edges[:, :2]], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1]), pa.array(edges[:, 2].astype(np.int32))], schema=out)
 
@@ -468,42 +468,65 @@ def closing_links(members: DataFrame, texts: DataFrame, words: int, similarity:
     return rows.select(*keys, "id", "tight", "text").mapInArrow(run, "a long, b long")
 
 
+def set_prints(docs: DataFrame, words: int, bits: int, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, h0, h1, size, f0, f1, ...)`` of every text's set of shingles: 128 bits that name it, its size, and its
+    fingerprint, for which a repeated shingle counts once."""
+    n = bits // 64
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "h0", "h1", "size", *(f"f{i}" for i in range(n)))])
+
+    def make(batch):
+        found = []
+        for x in batch.column(1).to_pylist():
+            h = np.unique(shingle_hashes(x or "", words))
+            name = xxhash.xxh128_intdigest(h.tobytes())
+            found.append([name >> 64, name & (2**64 - 1), len(h), *fingerprint(h, bits)])
+        columns = np.array(found, dtype=np.uint64).reshape(-1, n + 3).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(columns[:, i]) for i in range(n + 3)]], schema=schema)
+
+    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
+    return picked.mapInArrow(per_batch(make, schema), ", ".join(f"{f.name} long" for f in schema))
+
+
+#: Sets with at most so many shingles are short: their majorities often hang on one shingle, most of all those of four and
+#: five shingles, which differ in 3/16 of the bits at a similarity of 0.8.
+SHORT, SHORT_SHARE = 32, 0.1875
+
+
 def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, component_id)`` of every row with an id: components of texts whose shingle sets are at least as similar.
 
-    Fingerprints of ``bits`` bits find candidates, pigeonring chains prune them, and edges whose distance leaves the
-    similarity open are checked against the texts.  Where that leaves a component of candidates in parts, all pairs of
-    texts between the parts are measured, so a failed edge costs no link.  At a similarity s the share of differing bits is acos(c)/pi with
-    c = 2s/(1+s), give or take; edges well under it are sure, edges well over it are none.
+    Texts with equal sets are one node.  Fingerprints of the sets, of ``bits`` bits, find candidates, pigeonring chains
+    prune them, and all edges are checked against the texts.  Where that leaves a component of candidates in parts, all
+    pairs of texts between the parts are measured, so a failed edge costs no link.  At a similarity s the share of differing
+    bits is acos(c)/pi with c = 2s/(1+s), give or take; edges well over it are none, and short sets get a wider bound.
     """
     bounded_batches(docs.sparkSession)
-    n = bits // 64
-    names = [f"f{i}" for i in range(n)]
+    names, key = [f"f{i}" for i in range(bits // 64)], ["h0", "h1"]
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    most, sure = round(bits * share * 1.35), round(bits * share * 0.65)
-    prints = stored(fingerprints(docs, words, bits, id_col, text_col), "fingerprints").where("doc_id IS NOT NULL")
-    classes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "fingerprint-classes")
-    edges = stored(candidate_edges(classes, bits, most, sure, share), "similar-candidates")
+    short = max(share, SHORT_SHARE)
+    prints = stored(set_prints(docs, words, bits, id_col, text_col), "fingerprints").where("doc_id IS NOT NULL")
+    classes = stored(prints.groupBy(*key, "size", *names).agg(F.min("doc_id").alias("rep")), "fingerprint-classes")
+    few = candidate_edges(classes.where(F.col("size") <= SHORT), bits, round(bits * short + 5 * (bits * short * (1 - short)) ** 0.5), short)
+    edges = stored(candidate_edges(classes, bits, round(bits * share * 1.35), share).union(few), "similar-candidates")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def make(batch):
         x, y = (batch.column(i).to_pylist() for i in (2, 3))
         yield batch.filter(pa.array([jaccard(p or "", q or "", words) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_())).select([0, 1])
 
-    asked = edges.where(F.col("d") > sure).select("a", "b")
+    asked = edges.select("a", "b").distinct()
     texts = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs[text_col]).alias("text"))
     wanted = _asked_for(texts, asked.select(F.col("a").alias("id")).union(asked.select(F.col("b").alias("id"))))
     left, right = wanted.select(F.col("id").alias("a"), F.col("text").alias("x")), wanted.select(F.col("id").alias("b"), F.col("text").alias("y"))
     open_ = asked.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     checked = open_.mapInArrow(per_batch(make, schema), "a long, b long")
-    links = edges.where(F.col("d") <= sure).select("a", "b").union(checked)
-    tight = connected_components(links, "a", "b").withColumnRenamed("component", "tight")
+    tight = connected_components(checked, "a", "b").withColumnRenamed("component", "tight")
     loose = connected_components(edges, "a", "b").withColumnRenamed("component", "loose")
     members = loose.join(tight, "node", "left").select(F.col("node").alias("id"), "loose", F.coalesce("tight", "node").alias("tight"))
     more = closing_links(stored(members, "similar-members"), texts, words, similarity)
     found = connected_components(tight.select(F.col("node").alias("a"), F.col("tight").alias("b")).union(more), "a", "b")
-    of = stored(classes.join(found, classes["rep"] == found["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id")), "fingerprint-components")
-    return prints.join(of, names).select("doc_id", "component_id")
+    of = stored(classes.join(found, classes["rep"] == found["node"], "left").select(*key, F.coalesce("component", "rep").alias("component_id")), "fingerprint-components")
+    return prints.join(of, key).select("doc_id", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 64, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

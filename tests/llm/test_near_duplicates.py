@@ -160,6 +160,24 @@ def test_pairs_among_texts_just_under_the_similarity(spark, monkeypatch, block):
     assert dict(map(tuple, simhash.similar_texts(df).collect())) == want
 
 
+def test_similarity_is_that_of_sets(spark):
+    def words(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    line = " ".join(f"line{i}" for i in range(14))
+    texts = [words("a", 104) + f" {line}" * 31, words("a", 104) + f" {line}" * 2]  # the same shingles but for some seams
+    texts += [words("b", 104) + f" {line}" * 500, words("c", 104) + f" {line}" * 500]  # one line's shingles, and others
+    rng = random.Random(5)
+    for g in range(40):  # sets of four and five shingles
+        texts += [words(f"s{g}x", 8), words(f"s{g}x", 8) + f" more{rng.random()}"]
+    similar = [(a, b) for a in range(len(texts)) for b in range(a) if simhash.jaccard(texts[a], texts[b], 5) >= 0.8]
+    assert len(similar) == 41
+    found = dict(map(tuple, simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
+    want = closure(range(len(texts)), similar)
+    assert all(found[i] == want[i] for i in range(4)) and sum(found[i] == want[i] for i in want) >= len(want) - 2
+    assert all(want[i] == want[c] for i, c in found.items())
+
+
 def test_forests_of_broad_and_small_buckets_agree(monkeypatch):
     rng = np.random.default_rng(3)
     f = rng.integers(0, 2**63, (60, 8), dtype=np.uint64)
