@@ -1,6 +1,9 @@
 """Operator 10: remove sentences covered by runs of sentences that have occurred before, anywhere in the corpus.
 
-Sentences are cut at commas and semicolons too, so that a passage set into the middle of a longer sentence still shows.
+Sentences are cut at commas and semicolons too, so that a passage set into the middle of a longer sentence still shows,
+and long ones at words chosen by their hashes: of any WINDOW words in a row that no mark parts, a sentence begins at the one
+with the least hash.  Such places depend on the words around them alone, so 50 words that two texts share have the same
+cuts but for less than WINDOW words at either end, and the sentences between have at least 51 - 2 * WINDOW words.
 From every sentence on, and up to every sentence, the shortest run of sentences with at least ``min_words`` words is a
 span (so a span is several sentences, or one that is as long alone, and the spans within a passage reach all of its
 sentences).  Every span is hashed, the hashes meet globally, and the first occurrence (by document id, then place) stays;
@@ -22,6 +25,9 @@ from pyspark.sql import types as T
 from .common import bounded_batches, per_batch, stored
 
 _CUT = re.compile(r"([.!?,;]+[ \t]+|\n\s*)")
+_WORD = re.compile(r"\S+")
+#: With 15, fifty common words hold whole sentences of at least 21 words.
+WINDOW = 15
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -38,14 +44,37 @@ def _powers(m: int, n: int) -> np.ndarray:
 def split_sentences(text: str) -> tuple[list[str], list[str]]:
     """Sentences, and what stands after each (marks and white space); their alternation is the text."""
     parts = _CUT.split(text)
-    return parts[::2], [*parts[1::2], ""]
+    sentences, gaps = [], []
+    for sentence, gap in zip(parts[::2], [*parts[1::2], ""], strict=True):
+        at = 0
+        for stop, start in _hashed_cuts(sentence):
+            sentences.append(sentence[at:stop])
+            gaps.append(sentence[stop:start])
+            at = start
+        sentences.append(sentence[at:])
+        gaps.append(gap)
+    return sentences, gaps
+
+
+def _hashed_cuts(sentence: str) -> list[tuple[int, int]]:
+    """(end of the word before, start) of every word but the first that has the least hash, as the last of equal ones, of
+    some WINDOW words in a row."""
+    if len(sentence) < 2 * WINDOW - 1:
+        return []
+    words = list(_WORD.finditer(sentence))
+    if len(words) < WINDOW:
+        return []
+    h = np.array([xxhash.xxh64_intdigest(w[0].strip(".!?,;").encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
+    windows = np.lib.stride_tricks.sliding_window_view(h, WINDOW)[:, ::-1]
+    least = np.unique(np.arange(len(windows)) + WINDOW - 1 - windows.argmin(axis=1))
+    return [(words[i - 1].end(), words[i].start()) for i in least.tolist() if i]
 
 
 def spans(sentences: list[str], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(first sentence, end, 64-bit hash, 32-bit hash)`` of every span, in order; no span begins or ends blank."""
     n = len(sentences)
     core = [s.strip(" \t.!?,;") for s in sentences]
-    words = np.fromiter((s.count(" ") + 1 if s else 0 for s in core), dtype=np.int64, count=n)
+    words = np.fromiter((len(s.split()) for s in core), dtype=np.int64, count=n)
     total = np.concatenate([[0], np.cumsum(words)])
     some = np.flatnonzero(words)
     end = np.searchsorted(total, total[some] + min_words)

@@ -155,6 +155,32 @@ def test_spans(spark):
     assert spans.remove_repeated_spans(df.limit(0)).collect() == []
 
 
+def test_any_fifty_common_words_show(spark):
+    rng = random.Random(31)
+
+    def words(n):
+        return ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(n)]
+
+    texts, passages = {}, []
+    for d in range(0, 200, 2):  # the passage's first and last fragments run on into other words
+        passage = words(50)
+        for i in rng.sample(range(5, 45), rng.randint(0, 3)):
+            passage[i] += rng.choice([",", ".", ";"])
+        passages.append(passage)
+        for e in (d, d + 1):
+            texts[e] = " ".join(words(rng.randint(1, 40)) + passage + words(rng.randint(1, 40)))
+    for t in texts.values():
+        sentences, gaps = spans.split_sentences(t)
+        assert "".join(s + g for s, g in zip(sentences, gaps, strict=True)) == t
+    df = spark.createDataFrame([(d, t, len(t)) for d, t in texts.items()], "doc_id long, text string, n_chars long")
+    left = {r.doc_id: r.text for r in spans.remove_repeated_spans(df, 20).collect()}
+    for d in range(0, 200, 2):
+        assert left[d] == texts[d]
+        kept, passage = set(left[d + 1].split()), passages[d // 2]
+        assert not kept & set(passage[14:35]) and len(kept & set(passage)) <= 29
+        assert kept >= set(texts[d + 1].split()) - set(passage)
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("corpus")
