@@ -165,3 +165,12 @@ def test_names_of_columns(engine):
     assert engine.sql("SELECT id, id + 1, upper(name), count(*) AS n, 1::int8, 'x' FROM emp GROUP BY id, upper(name)").columns == ["id", "?column?", "upper", "n", "int8", "?column?"]
     assert engine.sql("VALUES (1, 2)").columns == ["column1", "column2"]
     assert engine.sql('SELECT 1 AS "Mixed Case"').columns == ["Mixed Case"]
+
+
+@pytest.mark.parametrize("name", ["numeric_arith", "to_char_number"])
+def test_number_queries_take_every_row(spark, name):
+    from pelago import queries
+
+    folder = "/root/testdata/sf0.01"
+    assert queries.queries()[name](spark, folder).count() == spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert "WHERE" not in queries.oracle_sql()[name]
