@@ -311,7 +311,7 @@ def forest_rows(key: np.ndarray, f: np.ndarray, ring: Ring, sure: int = 0, fores
             rest, best, source = np.delete(rest, k), np.delete(best, k, axis=1), np.delete(source, k, axis=1)
 
 
-def candidate_edges(prints: DataFrame, bits: int, most: int, share: float, recall: float = 0.99, seed: int = 8) -> DataFrame:
+def candidate_edges(prints: DataFrame, bits: int, most: int, share: float, recall: float = 0.9995, seed: int = 8) -> DataFrame:
     """``(a, b, d)``: forest edges among wide fingerprints (rep, f0, f1, ...) within ``most`` differing bits; whatever pair
     meets within them is linked by a path of such edges, so its loose component holds it.
 
