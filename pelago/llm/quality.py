@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ def features(texts: list[str], recorded: list[int | None]) -> tuple[np.ndarray,
     doc = np.searchsorted(words.ends, at)
     k1, k2 = words.keys(at, np.minimum(sizes, KEPT_BYTES))
     h = (k1 ^ (k2 * _M2)) * _M1
+    for i in np.flatnonzero(sizes > KEPT_BYTES).tolist():  # rare; their keys tell apart the first bytes only
+        h[i] = xxhash.xxh64_intdigest(b[at[i] : at[i] + sizes[i]].tobytes())
     h = ((h ^ (h >> np.uint64(32))) * _M2 >> np.uint64(64 - HASHED_BITS)).astype(np.int64)
     key, times = np.unique(doc << HASHED_BITS | h, return_counts=True)
     row, col = key >> HASHED_BITS, key & ((1 << HASHED_BITS) - 1)

@@ -86,6 +86,14 @@ def test_quality(spark, docs):
     assert quality.fit_quality(docs, labels.limit(0)) is None and quality.score_quality(docs.limit(2), None).count() == 2
 
 
+def test_long_words_are_hashed_whole():
+    texts = ["x" * 64 + "a" * 40, "x" * 64 + "b" * 40, "X" * 64 + "A" * 40, "x" * 64, f"{'x' * 70}a {'x' * 70}b {'x' * 70}a"]
+    row, col, _, stats = quality.features(texts, [None] * 5)
+    first = {int(r): int(c) for r, c in zip(row, col, strict=True)}
+    assert len({first[0], first[1], first[3]}) == 3 and first[0] == first[2]
+    assert (row == 4).sum() == 2 and stats[4, quality.STATS.index("most_common")] == pytest.approx(2 / 3)
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(2)
     texts = ["a b c a d", "e f", "", "a"]
