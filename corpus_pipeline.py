@@ -49,7 +49,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack_sequences),
 ]
 
-#: SQL can't express the trained stages; tests/llm holds run() against brute force on a small corpus.
+#: SQL can't express the trained stages.  tests/llm holds near duplicates and passages against brute force one by one; run()'s
+#: rows as a whole are compared with nothing but which documents survive.
 ORACLE_SQL = None
 
 
