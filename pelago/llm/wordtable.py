@@ -1,9 +1,11 @@
 """Whole texts to token ids, a batch of texts at a time, with numpy over their bytes.
 
-The words of a tokenizer (which no merge may cross) are found by comparing the classes of neighbouring bytes, keyed by
-128 bits each, and looked up in an open-addressed table of numpy arrays.  Only words not seen before go to the
-tokenizer's own merge step.  A table has a fixed size; a full one is emptied and learned anew, which costs time and never
-changes a result.  Texts beyond Latin-1, with rare white space or with special strings go to the tokenizer whole.
+The words of a tokenizer (which no merge may cross) are found by comparing the classes of neighbouring bytes.  Words of up
+to 15 bytes are keyed by 128 bits that hold all of them and their number, so two words never share a key, and are looked up
+in an open-addressed table of numpy arrays; longer ones are rare and are looked up by their bytes.  Only words not seen
+before go to the tokenizer's own merge step.  Both tables are bounded; a full one is emptied and learned anew, which costs
+time and never changes a result.  Texts beyond Latin-1, with rare white space or with special strings go to the tokenizer
+whole.
 """
 
 from __future__ import annotations
@@ -13,8 +15,11 @@ from collections.abc import Callable
 import numpy as np
 
 SPACE, LETTER, DIGIT, OTHER, END = range(5)
-#: Longer words are encoded each time and never kept.
-KEPT_BYTES = 64
+#: Words of so many bytes are their own key; longer ones are looked up by their bytes, and those over KEPT_BYTES are
+#: encoded each time and never kept.
+OWN_KEY_BYTES, KEPT_BYTES = 15, 64
+#: Words kept by their bytes, about 250 bytes each.
+LONG_WORDS = 1 << 16
 
 _CLASS = np.full(256, OTHER, dtype=np.uint8)
 for _c in range(256):
@@ -127,7 +132,8 @@ class Words:
         return at[keep], sizes[keep]
 
     def keys(self, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits for each word of at most KEPT_BYTES bytes: its bytes and length if under 16, else mixed."""
+        """128 bits for each word of at most KEPT_BYTES bytes: its bytes and their number up to OWN_KEY_BYTES, and no other
+        such word has them; beyond, a mix of its bytes that others may share."""
         lanes = np.ndarray(shape=(len(self.raw) - 7,), dtype="<u8", buffer=self.raw, strides=(1,))
         k1 = lanes[at] & _MASKS[np.minimum(sizes, 8)]
         k2 = sizes.astype(np.uint64) << np.uint64(56)
@@ -148,10 +154,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """Ids of words by key; ``encode_new`` gets distinct words and returns each one's little-endian 32-bit ids."""
+    """Ids of words; ``encode_new`` gets distinct words and returns each one's little-endian 32-bit ids."""
 
-    def __init__(self, encode_new: Callable[[list[bytes]], list[bytes]], bits: int = 21):
+    def __init__(self, encode_new: Callable[[list[bytes]], list[bytes]], bits: int = 20):
         self.encode_new, self.bits = encode_new, bits
+        self.long: dict[bytes, bytes] = {}
         self._empty()
 
     def _empty(self) -> None:
@@ -200,13 +207,29 @@ class WordTable:
 
     def encode(self, words: Words, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and the number of ids of each word."""
-        long = np.flatnonzero(sizes > KEPT_BYTES)
-        kept = sizes <= KEPT_BYTES
-        k1, k2 = words.keys(at, np.minimum(sizes, KEPT_BYTES))
+        keyed = np.flatnonzero(sizes <= OWN_KEY_BYTES)
+        other = np.flatnonzero(sizes > OWN_KEY_BYTES)
+        slot = self._slots(words, at[keyed], sizes[keyed])
+        counts, places = np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
+        counts[keyed], places[keyed] = self.size[slot], self.at[slot]
+        pool = self.pool
+        if len(other):
+            ids = self._long_ids(self._bytes(words, at[other], sizes[other]))
+            n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+            counts[other], places[other] = n, self.used + np.cumsum(n) - n
+            pool = np.concatenate([pool[: self.used], np.frombuffer(b"".join(ids), dtype="<u4")])
+        total = np.cumsum(counts)
+        where = np.repeat(places - (total - counts), counts)
+        where += np.arange(len(where))
+        return pool[where], counts
+
+    def _slots(self, words: Words, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The slot of each word, new ones encoded and put in."""
+        k1, k2 = words.keys(at, sizes)
         if self.words > 0.55 * len(self.k1):
             self._empty()
         slot = self._find(k1, k2)
-        miss = np.flatnonzero((slot < 0) & kept)
+        miss = np.flatnonzero(slot < 0)
         if len(miss):
             order = miss[np.lexsort((k2[miss], k1[miss]))]
             first = np.ones(len(order), dtype=bool)
@@ -216,21 +239,22 @@ class WordTable:
                 while len(new) > 0.5 * (1 << self.bits):
                     self.bits += 1
                 self._empty()
-                return self.encode(words, at, sizes)
+                return self._slots(words, at, sizes)
             self._insert(k1[new], k2[new], self.encode_new(self._bytes(words, at[new], sizes[new])))
             slot[miss] = self._find(k1[miss], k2[miss])
-        counts = np.where(kept, self.size[slot], 0).astype(np.int64)
-        places = self.at[slot].astype(np.int64)
-        pool = self.pool
-        if len(long):
-            ids = self.encode_new(self._bytes(words, at[long], sizes[long]))
-            n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-            counts[long], places[long] = n, self.used + np.cumsum(n) - n
-            pool = np.concatenate([pool[: self.used], np.frombuffer(b"".join(ids), dtype="<u4")])
-        total = np.cumsum(counts)
-        where = np.repeat(places - (total - counts), counts)
-        where += np.arange(len(where))
-        return pool[where], counts
+        return slot
+
+    def _long_ids(self, found: list[bytes]) -> list[bytes]:
+        """Ids of words by their bytes."""
+        if len(self.long) > LONG_WORDS:
+            self.long = {}
+        new = [w for w in dict.fromkeys(found) if w not in self.long]
+        here = dict(zip(new, self.encode_new(new), strict=True)) if new else {}
+        ids = [here[w] if w in here else self.long[w] for w in found]
+        for w in new:
+            if len(w) <= KEPT_BYTES and len(self.long) <= LONG_WORDS:
+                self.long[w] = here[w]
+        return ids
 
     @staticmethod
     def _bytes(words: Words, at: np.ndarray, sizes: np.ndarray) -> list[bytes]:

@@ -56,6 +56,37 @@ def test_a_small_word_table_gives_the_same_ids(texts):
         assert codec.encode([text or ""])[0].tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
+def test_words_that_only_differ_past_their_ends():
+    """Every word of 9 to 15 bytes against its extensions by control bytes to 16 bytes, each after the other in one batch."""
+    byte, word, piece = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    pairs = []
+    for n in range(9, 16):
+        for c in range(1, 32):
+            for base in ("-" * n, "a" * n):
+                pairs += [base, base + chr(0) * (15 - n) + chr(c), base + chr(c) * (16 - n)]
+    for texts in (pairs, pairs[::-1]):
+        for path, make in ((BYTE, bpe.TextEncoder), (BYTE, LibraryEncoder), (WORD, LibraryEncoder)):
+            own = make(path)
+            ids = (own.encode_all if make is bpe.TextEncoder else own.encode)(texts)
+            assert [x.tolist() for x in ids] == [(byte if path == BYTE else word).encode(t, add_special_tokens=False).ids for t in texts]
+        assert PieceCounter(PIECE).counts(texts) == [len(piece.encode(t)) for t in texts]
+
+
+def test_words_with_one_key(monkeypatch):
+    """Whatever a key mixes of a longer word, ids come by its bytes."""
+    monkeypatch.setattr("pelago.llm.wordtable._mix", lambda x: x & np.uint64(1))
+    texts = [c * n + d for c in "ab-" for n in range(14, 66) for d in ("", "x", "-", "é")]
+    library, own = Tokenizer.from_file(BYTE), bpe.TextEncoder(BYTE)
+    assert [x.tolist() for x in own.encode_all(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("\0\x01\x0f\x10\x1f -aé!"), max_size=40), min_size=1, max_size=12))
+def test_random_bytes_are_the_librarys(texts):
+    library, own = Tokenizer.from_file(BYTE), bpe.encoder(BYTE)
+    assert [x.tolist() for x in own.encode_all(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.fixture(scope="module")
 def docs(spark, texts):
     rows = [(i, t, "x") for i, t in enumerate(texts[:150])]
