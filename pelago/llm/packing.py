@@ -4,7 +4,8 @@ Only lengths matter to a packing, and there are at most ``capacity`` different o
 one histogram, whatever its size: first Martello-Toth style dominance reduction fixes small sets that provably dominate
 every other way to fill a sequence with their largest piece, then best-fit (largest first) packs what remains.  Both work
 on classes of equal lengths and equal fillings, so a plan has a few thousand rows at most.  Pieces find their place by
-their rank within their length; ranks are counted in the tasks and joined from a table of (partition, length) counts.
+their rank within their length; each task that cuts pieces counts them by length and leaves its counts beside them, and
+sums of these over the tasks before are joined back.
 """
 
 from __future__ import annotations
@@ -194,7 +195,10 @@ def _ddl(schema: pa.Schema) -> str:
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's tokens and ``end_id``, cut into pieces of ``capacity`` (the first may be shorter), with the
-    piece's rank among those of its length in its partition.  Null text: just the end id."""
+    piece's rank among those of its length in its partition.  Null text: just the end id.
+
+    Rows with piece -1 close a partition: ``rank`` is its number of pieces of ``length``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ranks = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
@@ -213,6 +217,10 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: s
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECES, strict=True)], schema=PIECES)
 
         yield from per_batch(make, PIECES)(batches)
+        length = np.flatnonzero(ranks)
+        n = len(length)
+        counted = {"doc_id": [None] * n, "piece": [-1] * n, "start": [None] * n, "length": length, "ids_crc32": [None] * n, "part": [part] * n, "rank": ranks[length]}
+        yield pa.RecordBatch.from_pydict(counted, schema=PIECES)
 
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
     return picked.mapInArrow(run, _ddl(PIECES))
@@ -226,12 +234,11 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
     """
     bounded_batches(docs.sparkSession)
     pieces = stored(cut_pieces(docs, path, capacity, end_id, id_col, text_col), "pieces")
-    sums = stored(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")
+    sums = pieces.where("piece = -1").select("part", "length", F.col("rank").alias("n"))
     counts = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     seg = _segments(plan(counts, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    offsets = stored(offsets, "piece-offsets")
 
     def make(batch):
         length, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 5))
@@ -241,5 +248,6 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
         offset = seg["offset"][at] + nth % seg["times"][at] * length
         yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], schema=PLACED)
 
-    ranked = pieces.join(offsets, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("rank"))
+    # a merge join: the counts grow with the partitions, so they aren't broadcast; a piece's row is some 50 bytes
+    ranked = pieces.where("piece >= 0").join(offsets.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("rank"))
     return ranked.mapInArrow(per_batch(make, PLACED, 65536), _ddl(PLACED))
