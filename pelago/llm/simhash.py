@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import split_crowded
-from .common import bounded_batches, per_batch, stored, text_or_empty, whole_keys
+from .common import bounded_batches, free_name, per_batch, stored, text_or_empty, whole_keys
 from .components import connected_components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -553,5 +553,6 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: s
     Columns stay as they are; rows with a null id stay; of rows that share an id all or none stay.
     """
     found = similar_texts(docs, words, similarity, id_col=id_col, text_col=text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    own = free_name(docs, "gone")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone[own], "left_anti")

@@ -1,13 +1,14 @@
 """Operator 10: remove sentences covered by runs of sentences that have occurred before, anywhere in the corpus.
 
-Sentences are cut at commas and semicolons too, so that a passage set into the middle of a longer sentence still shows,
-and long ones at words chosen by their hashes: of any WINDOW words in a row that no mark parts, a sentence begins at the one
-with the least hash.  Such places depend on the words around them alone, so 50 words that two texts share have the same
-cuts but for less than WINDOW words at either end, and the sentences between have at least 51 - 2 * WINDOW words.
-From every sentence on, and up to every sentence, the shortest run of sentences with at least ``min_words`` words is a
-span (so a span is several sentences, or one that is as long alone, and the spans within a passage reach all of its
-sentences).  Every span is hashed, the hashes meet globally, and the first occurrence (by document id, then place) stays;
-the sentences of all others go.
+Sentences end at full stops, exclamation and question marks and at line ends; long ones are also cut at words chosen by
+their hashes: of any WINDOW words in a row that no end parts, a sentence begins at the one with the least hash.  Such
+places depend on the words around them alone, so 50 words that two texts share have the same cuts but for less than WINDOW
+words at either end, and the whole sentences between have at least 51 - 2 * WINDOW words, in two sentences or more.
+
+A window of several sentences slides over the text: from every sentence on, and up to every sentence, the shortest run of
+at least two sentences with at least ``min_words`` words is a span, so the spans within a passage reach all of its whole
+sentences.  Every span is hashed, the hashes meet globally, and the first occurrence (by document id, then text, then
+place) stays; the sentences of all others go.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, per_batch, stored
+from .common import bounded_batches, free_name, per_batch, stored
 
-_CUT = re.compile(r"([.!?,;]+[ \t]+|\n\s*)")
+_CUT = re.compile(r"([.!?]+[ \t]+|\n\s*)")
 _WORD = re.compile(r"\S+")
 #: With 15, fifty common words hold whole sentences of at least 21 words.
 WINDOW = 15
@@ -70,72 +71,82 @@ def _hashed_cuts(sentence: str) -> list[tuple[int, int]]:
     return [(words[i - 1].end(), words[i].start()) for i in least.tolist() if i]
 
 
-def spans(sentences: list[str], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(first sentence, end, 64-bit hash, 32-bit hash)`` of every span, in order; no span begins or ends blank."""
-    n = len(sentences)
+def spans(sentences: list[str], min_words: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(first sentence, end, 64-bit hash, 32-bit hash)`` of every span, in order: from each sentence on, and up to
+    each sentence, the shortest run of at least ``least`` sentences with ``min_words`` words.  Blank sentences count for
+    nothing."""
     core = [s.strip(" \t.!?,;") for s in sentences]
-    words = np.fromiter((len(s.split()) for s in core), dtype=np.int64, count=n)
-    total = np.concatenate([[0], np.cumsum(words)])
+    words = np.fromiter((len(s.split()) for s in core), dtype=np.int64, count=len(core))
     some = np.flatnonzero(words)
-    end = np.searchsorted(total, total[some] + min_words)
-    start, end = some[end <= n], end[end <= n]
-    last = some[total[some + 1] >= min_words] + 1
-    first = np.searchsorted(total, total[last] - min_words, side="right") - 1
-    pairs = np.unique(np.concatenate([start, first]) * (n + 1) + np.concatenate([end, last]))
+    n = len(some)
+    total = np.concatenate([[0], np.cumsum(words[some])])
+    end = np.maximum(np.searchsorted(total, total[:-1] + min_words), np.arange(n) + least)
+    start = np.minimum(np.searchsorted(total, total[1:] - min_words, side="right") - 1, np.arange(n) + 1 - least)
+    forth, back = np.flatnonzero(end <= n), np.flatnonzero(start >= 0)
+    pairs = np.unique(np.concatenate([forth, start[back]]) * (n + 1) + np.concatenate([end[forth], back + 1]))
     start, end = np.divmod(pairs, n + 1)
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s) if s else 0 for s in core), dtype=np.uint64, count=n)
-    number = np.concatenate([[0], np.cumsum(words > 0)])  # blank sentences don't count as places
+    h = np.fromiter((digest(core[i].encode("utf-8", "surrogatepass")) for i in some.tolist()), dtype=np.uint64, count=n)
     size = 1 << max(10, int(n).bit_length())
     out = []
     for m in (_M1, _M2):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(m, size)[number[:-1]], dtype=np.uint64)])
-        x = (sums[end] - sums[start]) * _powers(pow(m, -1, 2**64), size)[number[start]]
-        x = (x ^ (number[end] - number[start]).astype(np.uint64)) * np.uint64(_M2)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(m, size)[:n], dtype=np.uint64)])
+        x = (sums[end] - sums[start]) * _powers(pow(m, -1, 2**64), size)[start]
+        x = (x ^ (end - start).astype(np.uint64)) * np.uint64(_M2)
         out.append(x ^ (x >> np.uint64(32)))
-    return start, end, out[0].view(np.int64), (out[1] >> np.uint64(33)).astype(np.int32)
+    return some[start], some[end - 1] + 1, out[0].view(np.int64), (out[1] >> np.uint64(33)).astype(np.int32)
 
 
-SPANS = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int32()), ("again", pa.bool_())])
+SPANS = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("doc_id", pa.int64()), ("body", pa.int64()), ("place", pa.int32()), ("again", pa.bool_())])
+
+
+def _identity(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """What tells a row's text from others: the id (null: after all others) and 64 bits of the text."""
+    return F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(docs[text_col].cast("string"))
 
 
 def span_rows(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """Every span of every text; ``again`` marks those that occurred before in the same text."""
 
     def make(batch):
-        columns = [[], [], [], [], []]
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        columns = [[], [], [], [], [], []]
+        for doc, body, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             _, _, h, g = spans(split_sentences(text)[0], min_words)
             again = np.ones(len(h), dtype=bool)
             again[np.unique(np.stack([h, g], axis=1), axis=0, return_index=True)[1] if len(h) else []] = False
-            for c, x in zip(columns, (h, g, np.full(len(h), doc, np.int64), np.arange(len(h), dtype=np.int32), again), strict=True):
+            for c, x in zip(columns, (h, g, np.full(len(h), doc, np.int64), np.full(len(h), body, np.int64), np.arange(len(h), dtype=np.int32), again), strict=True):
                 c.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(columns, SPANS, strict=True)], schema=SPANS)
 
-    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return picked.mapInArrow(per_batch(make, SPANS), "h long, g int, doc_id long, place int, again boolean")
+    doc, body = _identity(docs, id_col, text_col)
+    picked = docs.where(docs[text_col].isNotNull()).select(doc.alias("doc_id"), body.alias("body"), docs[text_col].cast("string").alias("text"))
+    return picked.mapInArrow(per_batch(make, SPANS), "h long, g int, doc_id long, body long, place int, again boolean")
 
 
 def repeated_places(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, places)``: the numbers of the spans that are not the first of their kind."""
+    """``(doc_id, body, places)``: the numbers of the spans of a text that are not the first of their kind."""
     rows = stored(span_rows(docs, min_words, id_col, text_col), "spans")
-    first = rows.where("NOT again").groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    here = F.struct("doc_id", "body")
+    first = rows.where("NOT again").groupBy("h", "g").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first < last")
     repeated = stored(first.select("h", "g", "first"), "spans-repeated")
-    others = rows.where("NOT again").join(repeated, ["h", "g"]).where("doc_id <> first").select("doc_id", "place")
-    return others.union(rows.where("again").select("doc_id", "place")).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    others = rows.where("NOT again").join(repeated, ["h", "g"]).where(here != F.col("first")).select("doc_id", "body", "place")
+    return others.union(rows.where("again").select("doc_id", "body", "place")).groupBy("doc_id", "body").agg(F.collect_set("place").alias("places"))
 
 
 def remove_repeated_spans(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", removed_col: str | None = None) -> DataFrame:
     """``docs`` with the covered sentences taken out of ``text_col`` (and ``chars_col``, if there, counted anew).
 
     ``removed_col`` names a column for the number of sentences removed.  Null texts and texts without repeated spans
-    stay as they are; rows with a null id stay as they are and make nobody else's spans repeated; rows that share an id
-    count as one document.  A text that is repeated as a whole becomes empty; its row stays.
+    stay as they are.  Rows with the same id and the same text are one document and lose the same sentences; of different
+    texts with one id, and among rows without an id (which come after all others), the text with the least hash is first.
+    A text that is repeated as a whole becomes empty; its row stays.
     """
     bounded_batches(docs.sparkSession)
-    places = stored(repeated_places(docs, min_words, id_col, text_col), "spans-places").select(F.col("doc_id").alias("__doc"), F.col("places").alias("__places"))
-    joined = docs.join(places, docs[id_col].cast("long") == F.col("__doc"), "left").drop("__doc")
     names, chars = docs.columns, chars_col if chars_col in docs.columns else None
+    own = [free_name(docs, n) for n in ("doc_key", "body_key", "places")]
+    doc, body = _identity(docs, id_col, text_col)
+    places = stored(repeated_places(docs, min_words, id_col, text_col), "spans-places").toDF(*own)
+    joined = docs.join(places, (doc == places[own[0]]) & (body == places[own[1]]), "left").drop(*own[:2])
     schema = T.StructType([*docs.schema.fields, *([T.StructField(removed_col, T.IntegerType())] if removed_col else [])])
 
     def make(batch):

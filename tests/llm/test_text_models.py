@@ -1,10 +1,12 @@
 """Operators 2, 9 and 10, and the pipeline."""
 
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from pelago.llm import language, quality, spans
@@ -111,55 +113,89 @@ def test_sum_of_squares_identity():
         assert got == pytest.approx(1 / (1 + np.exp(-z)))
 
 
-def brute_spans(texts, min_words):
-    """Every span of every text by its words; removes the sentences of those that have occurred before."""
-    seen, out = {}, {}
-    for doc in sorted(texts):
-        sentences, gaps = spans.split_sentences(texts[doc])
-        core = [s.strip(" \t.!?,;") for s in sentences]
-        gone = [False] * len(sentences)
-        mine = set()
-        full = [i for i, c in enumerate(core) if c]
-        words = [core[i].count(" ") + 1 for i in full]
-        found = set()
-        for i in range(len(full)):
-            forth = next((j for j in range(i, len(full)) if sum(words[i : j + 1]) >= min_words), None)
-            back = next((j for j in range(i, -1, -1) if sum(words[j : i + 1]) >= min_words), None)
-            found |= {(i, forth)} if forth is not None else set()
-            found |= {(back, i)} if back is not None else set()
-        for i, j in sorted(found):
+def plain_sentences(text, window=15):
+    """Sentences and the gaps after them, character by character and window by window."""
+    pieces, at, i = [], 0, 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in ".!?":
+            j += 1
+        k = j
+        while j > i and k < len(text) and text[k] in " \t":
+            k += 1
+        if k > j > i:
+            pieces.append((text[at:i], text[i:k]))
+            at = i = k
+        elif text[i] == "\n":
+            k = i + 1
+            while k < len(text) and text[k].isspace():
+                k += 1
+            pieces.append((text[at:i], text[i:k]))
+            at = i = k
+        else:
+            i += 1
+    pieces.append((text[at:], ""))
+    out = []
+    for sentence, gap in pieces:
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", sentence)]
+        h = [xxhash.xxh64_intdigest(sentence[a:b].strip(".!?,;").encode()) for a, b in words]
+        cuts = {max(range(i, i + window), key=lambda k: (-h[k], k)) for i in range(len(words) - window + 1)} - {0}
+        at = 0
+        for c in sorted(cuts):
+            out.append((sentence[at : words[c - 1][1]], sentence[words[c - 1][1] : words[c][0]]))
+            at = words[c][0]
+        out.append((sentence[at:], gap))
+    return out
+
+
+def brute_spans(rows, min_words):
+    """Texts of rows ``(id, text)`` without the sentences of runs that have occurred before, by comparing the runs' words."""
+    seen, out = set(), {}
+    order = {(9**20 if d is None else d, xxhash.xxh64_intdigest(t.encode(), 42) - (xxhash.xxh64_intdigest(t.encode(), 42) >> 63 << 64), t, d) for d, t in rows if t is not None}
+    for _, _, text, doc in sorted(order):
+        parts = plain_sentences(text)
+        core = [s.strip(" \t.!?,;") for s, _ in parts]
+        full = [i for i, c in enumerate(core) if c.split()]
+        gone = [False] * len(parts)
+        runs = [(i, j) for i in range(len(full)) for j in range(i + 1, len(full)) if sum(len(core[full[k]].split()) for k in range(i, j + 1)) >= min_words]
+        for i, j in sorted({min(r for r in runs if r[0] == a) for a, _ in runs} | {max(r for r in runs if r[1] == b) for _, b in runs}):
             key = tuple(core[k] for k in full[i : j + 1])
-            if seen.get(key, doc) != doc or key in mine:
+            if key in seen:
                 gone[full[i] : full[j] + 1] = [True] * (full[j] + 1 - full[i])
-            seen.setdefault(key, doc)
-            mine.add(key)
-        out[doc] = "".join(s + g for s, g, x in zip(sentences, gaps, gone, strict=True) if not x)
+            seen.add(key)
+        out[doc, text] = "".join(s + g for (s, g), x in zip(parts, gone, strict=True) if not x)
     return out
 
 
 def test_spans(spark):
     rng = random.Random(9)
     pool = [" ".join("".join(rng.choice("abcde") for _ in range(3)) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    pool += [" ".join("".join(rng.choice("abcde") for _ in range(4)) for _ in range(n)) for n in (14, 15, 16, 30, 60)]
     texts = {}
     passage = pool[0] + ". " + ". ".join(pool[1:14]) + "!"
     for d in range(60):
-        parts = [rng.choice(pool) + rng.choice([". ", "! ", ", ", "; ", "\n", ".\n\n"]) for _ in range(rng.randint(0, 25))]
+        parts = [rng.choice(pool) + rng.choice([". ", "! ", ", ", "; ", "\n", ".\n\n", "... ", " . ", "? \t"]) for _ in range(rng.randint(0, 25))]
         if d % 7 == 0:
             parts.insert(rng.randint(0, len(parts)), passage + "\n")
         texts[d] = "".join(parts)
     texts[70] = "Is here. " * 200
     texts[71] = ""
-    df = spark.createDataFrame([(d, t, len(t), "x") for d, t in texts.items()] + [(None, texts[0], 1, "n"), (90, None, None, "n")], "doc_id long, text string, n_chars long, h string")
+    texts[72] = "One sentence without an end goes on " * 20
+    texts[73] = texts[72]
+    rows = [*texts.items(), (None, texts[0]), (None, texts[1]), (90, None), (5, texts[7]), (5, texts[5]), (5, texts[14]), (7, texts[7]), (6, "An own text. " + texts[3])]
+    for t in texts.values():
+        assert list(zip(*spans.split_sentences(t), strict=True)) == plain_sentences(t)
+    df = spark.createDataFrame([(d, t, None if t is None else len(t), "x", i, 1) for i, (d, t) in enumerate(rows)], "doc_id long, text string, n_chars long, __doc string, places int, h int")
     found = spans.remove_repeated_spans(df, 20, removed_col="removed")
     assert found.columns == [*df.columns, "removed"]
-    rows = {r.doc_id: r for r in found.collect()}
-    want = brute_spans(texts, 20)
-    for d in texts:
-        assert rows[d].text == want[d] and rows[d].n_chars == len(want[d])
-    assert rows[None].text == texts[0] and rows[90].text is None
+    got = {r.places: r for r in found.collect()}
+    want = brute_spans(rows, 20)
+    assert len(got) == len(rows)
+    for i, (d, t) in enumerate(rows):
+        left = want.get((d, t))
+        assert got[i].doc_id == d and got[i].text == left and got[i].n_chars == (None if left is None else len(left))
     inner = ". ".join(pool[1:14])
-    assert sum(inner in rows[d].text for d in texts) == 1
-    assert sum(pool[13] + "!" in rows[d].text for d in range(0, 60, 7)) <= 4  # a passage goes to its last sentence
+    assert len({(r.doc_id, r.text) for r in got.values() if inner in (r.text or "")}) == 1
     assert spans.remove_repeated_spans(df.limit(0)).collect() == []
 
 
