@@ -17,9 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import split_crowded
-from .common import bounded_batches, free_name, per_batch, stored, text_or_empty, whole_keys
-from .components import connected_components
+from .buckets import split_near_pivot
+from .common import bounded_batches, drop, free_name, per_batch, stored, text_or_empty, whole_keys
+from .components import connected_components, named_components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLANKS = bytes(range(9, 14)) + b" "
@@ -147,7 +147,7 @@ class Links:
         return a != b
 
 
-BROAD = 192
+BROAD, VAST = 192, 4096
 
 
 def link_rows(key: np.ndarray, f: np.ndarray, ring: Ring, start_of) -> Iterator[tuple[int, int]]:
@@ -176,19 +176,22 @@ def link_rows(key: np.ndarray, f: np.ndarray, ring: Ring, start_of) -> Iterator[
                     if links.join(i, i + step):
                         yield i, i + step
     for lo, hi in zip(cuts[:-1][sizes > BROAD].tolist(), cuts[1:][sizes > BROAD].tolist(), strict=True):
-        start = int(start_of[lo]) if start_of is not None else None
-        rest = np.arange(lo, hi)
-        while len(rest):
-            walk, rest = [int(rest[0])], rest[1:]
-            while walk and len(rest):
-                i = walk.pop()
-                near = ring.close(f[rest] ^ f[i], start)
-                if len(near):
-                    found = rest[near].tolist()
-                    for j in found:
-                        yield i, j
-                    walk += found
-                    rest = np.delete(rest, near)
+        yield from walk_rows(np.arange(lo, hi), f, ring, int(start_of[lo]) if start_of is not None else None)
+
+
+def walk_rows(rest: np.ndarray, f: np.ndarray, ring: Ring, start: int | None) -> Iterator[tuple[int, int]]:
+    """Tree edges of the links among ``rest``, from row to row."""
+    while len(rest):
+        walk, rest = [int(rest[0])], rest[1:]
+        while walk and len(rest):
+            i = walk.pop()
+            near = ring.close(f[rest] ^ f[i], start)
+            if len(near):
+                found = rest[near].tolist()
+                for j in found:
+                    yield i, j
+                walk += found
+                rest = np.delete(rest, near)
 
 
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -227,8 +230,8 @@ def hamming_edges(prints: DataFrame, bits: int, most: int) -> DataFrame:
     """Edges that link all fingerprints ``(rep, f0)`` of 64 bits within ``most`` differing bits; exact.
 
     Keys are (segment, its value).  In a crowded bucket the next segment may differ in at most budget(2) <= 1 bits, so
-    rows are dealt on by that segment with each single bit masked in turn, and what is still crowded by pairs of blocks; no
-    link is lost.
+    rows are dealt on by that segment with each single bit masked in turn; where that is still crowded, rows within
+    ``most`` of one of them are linked with it, and the rest is compared with all by pairs of blocks; no link is lost.
     """
     if bits != 64:
         raise ValueError("exact search is for fingerprints of 64 bits")
@@ -243,7 +246,7 @@ def hamming_edges(prints: DataFrame, bits: int, most: int) -> DataFrame:
     crowded = stored(counts, "simhash-crowded")
     whole_buckets = {"one": F.lit(0), "two": F.lit(0)}
     if not crowded.head(1):
-        return _bucket_edges(keyed.withColumns(whole_buckets), ring)
+        return _bucket_edges(keyed.withColumns(whole_buckets), ring).select("a", "b")
     marked = keyed.join(crowded, ["tab", "key"], "left")
     plain = marked.where("n IS NULL").select("tab", "key", "rep", "f0").withColumns(whole_buckets)
 
@@ -255,8 +258,9 @@ def hamming_edges(prints: DataFrame, bits: int, most: int) -> DataFrame:
     dense = refined(0) if ring.budget(2) <= 1 else marked.where("n IS NOT NULL").select("tab", "key", "rep", "f0")
     for s in range(1, ring.segments if ring.budget(2) <= 1 else 1):
         dense = dense.union(refined(s))
-    dense = split_crowded(dense, ["tab", "key"], "rep", CROWDED).select("tab", "key", "rep", "f0", "one", "two")
-    return _bucket_edges(plain.union(dense), ring)
+    dense, near = split_near_pivot(dense, ["tab", "key"], "rep", ["f0"], most, CROWDED)
+    found = _bucket_edges(plain.unionByName(dense.select("tab", "key", "rep", "f0", "one", "two")), ring)
+    return found if near is None else found.union(near.select("a", "b"))
 
 
 def forest_rows(key: np.ndarray, f: np.ndarray, ring: Ring, sure: int = 0, forests: int = 3) -> Iterator[tuple[int, int, int]]:
@@ -265,7 +269,9 @@ def forest_rows(key: np.ndarray, f: np.ndarray, ring: Ring, sure: int = 0, fores
     Between any two rows such a forest has a path without an edge longer than the best path's longest, so a stricter test
     of its edges later loses few links; and since distances only estimate what the test measures, edges over ``sure``
     come from ``forests`` forests without a common edge, so that a pair stays linked though some of its edges fail.
-    Broad buckets grow their trees row by row, each from its nearest rows so far, with memory for a few rows of distances.
+    Broad buckets grow their trees row by row, each from its nearest rows so far, with memory for a few rows of distances;
+    those of over ``VAST`` rows are walked instead, which costs a dense group about its rows and no square, and links the
+    same rows by other pairs.
     """
     n = len(key)
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if n else np.zeros(1, int)
@@ -293,7 +299,11 @@ def forest_rows(key: np.ndarray, f: np.ndarray, ring: Ring, sure: int = 0, fores
                     other.join(i, j)
             elif any(forest.join(i, j) for forest in links):
                 yield i, j, d
-    for lo, hi in zip(cuts[:-1][sizes > BROAD].tolist(), cuts[1:][sizes > BROAD].tolist(), strict=True):
+    for lo, hi in zip(cuts[:-1][sizes > VAST].tolist(), cuts[1:][sizes > VAST].tolist(), strict=True):
+        for i, j in walk_rows(np.arange(lo, hi), f, ring, None):
+            yield i, j, int(np.bitwise_count(f[i] ^ f[j]).sum())
+    broad = (sizes > BROAD) & (sizes <= VAST)
+    for lo, hi in zip(cuts[:-1][broad].tolist(), cuts[1:][broad].tolist(), strict=True):
         rest = np.arange(lo + 1, hi)
         best, source = np.full((forests, len(rest)), 1 << 30), np.full((forests, len(rest)), lo)
         new = lo
@@ -317,7 +327,8 @@ def candidate_edges(prints: DataFrame, bits: int, most: int, share: float, recal
 
     At such distances no segment need be equal, so candidates share the bits at k sampled places in one of several
     tables: k follows the number of fingerprints (about 128 a bucket), the number of tables the wanted recall at a
-    ``share`` of differing bits.  Every bucket is compared whole, a crowded one by pairs of blocks.
+    ``share`` of differing bits.  Every bucket is compared whole; of a crowded one, rows near a pivot are linked with it and
+    the rest is compared with all by pairs of blocks.
     """
     words = bits // 64
     n = max(prints.count(), 2)
@@ -357,9 +368,12 @@ def candidate_edges(prints: DataFrame, bits: int, most: int, share: float, recal
     picked = prints.select("rep", *names)
     rows = picked.mapInArrow(per_batch(make, schema, 4096), "tab int, key long, rep long, " + ", ".join(f"{c} long" for c in names))
     counted = picked.mapInArrow(per_batch(keys_only, bare, 4096), "tab int, key long")
-    rows = split_crowded(rows, ["tab", "key"], "rep", DENSE, counted).select(*keys, "rep", *names)
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "a long, b long, d int").groupBy("a", "b").agg(F.min("d").alias("d"))
+    rows, near = split_near_pivot(rows, ["tab", "key"], "rep", names, most, DENSE, counted)
+    dealt = rows.select(*keys, "rep", *names).repartition(*keys).sortWithinPartitions(*keys)
+    found = dealt.mapInArrow(run, "a long, b long, d int")
+    if near is not None:
+        found = found.union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d"))
+    return found.groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
 def jaccard(x: str, y: str, words: int) -> float:
@@ -373,25 +387,36 @@ def jaccard(x: str, y: str, words: int) -> float:
 FILTER_BITS = 1 << 26
 
 
-def _asked_for(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` whose id is in ``ids``, and by chance a few others, without a shuffle of the texts."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, body, text`` of the rows with an id; ``body`` tells apart the texts of rows that share one."""
+    text = text_or_empty(docs[text_col])
+    return docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("body"), text.alias("text")).where("id IS NOT NULL")
+
 
-    def place(c: str):
-        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+def _asked_for(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose (id, body) is in ``wanted``, each once, and by chance a few others.
 
-    spots = ids.select(place("id").alias("h"))
+    A filter keeps texts out of the shuffle that nothing asks for; the chance that it lets one pass grows with what is
+    asked for, and a row that passes is joined exactly afterwards.
+    """
+
+    def place():
+        return F.pmod(F.xxhash64("id", "body"), F.lit(FILTER_BITS))
+
+    spots = wanted.select(place().alias("h"))
     maps = spots.groupBy(F.shiftright("h", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(32767))).alias("bits")).collect()
     whole = np.zeros(FILTER_BITS // 8, dtype=np.uint8)  # at most 2048 rows of 4 KB, whatever the input
     for r in maps:
         whole[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     shared = texts.sparkSession.sparkContext.broadcast(whole)
-    schema = pa.schema([("id", pa.int64()), ("text", pa.string())])
+    schema = pa.schema([("id", pa.int64()), ("body", pa.int64()), ("text", pa.string())])
 
     def make(batch):
-        h = batch.column(2).to_numpy()
-        yield batch.filter(pa.array((shared.value[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool))).select([0, 1])
+        h = batch.column(3).to_numpy()
+        yield batch.filter(pa.array((shared.value[h >> 3] >> (h & 7).astype(np.uint8) & 1).astype(bool))).select([0, 1, 2])
 
-    return texts.where("id IS NOT NULL").select("id", "text", place("id").alias("h")).mapInArrow(per_batch(make, schema), "id long, text string")
+    passed = texts.select("id", "body", "text", place().alias("h")).mapInArrow(per_batch(make, schema), "id long, body long, text string")
+    return passed.groupBy("id", "body").agg(F.first("text").alias("text"))  # copies of a row meet before the shuffle
 
 
 #: A loose component with more texts is dealt into pairs of blocks.
@@ -449,8 +474,9 @@ def _dealt(members: DataFrame) -> DataFrame:
     return rows.select("id", "loose", "tight", F.explode(groups).alias("g")).select("id", "loose", "tight", "g.one", "g.two")
 
 
-def closing_links(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``(a, b)``: the links by the texts' own similarity that ``tight`` components of a ``loose`` one still lack; exact."""
+def closing_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``(a, b)``: the links by the texts' own similarity that ``tight`` components of a ``loose`` one still lack; exact.
+    ``nodes`` say which text (id, body) stands for a node."""
     keys = ["loose", "one", "two"]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -463,28 +489,30 @@ def closing_links(members: DataFrame, texts: DataFrame, words: int, similarity:
                 found = np.array(list(similar_rows(sets, tight[lo:hi], similarity)), dtype=np.int64).reshape(-1, 2) + lo
                 yield pa.RecordBatch.from_arrays([pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], schema=schema)
 
-    dealt = stored(_dealt(members), "similar-open")
-    rows = dealt.join(_asked_for(texts, dealt.select("id")), "id").repartition(*keys).sortWithinPartitions(*keys)
-    return rows.select(*keys, "id", "tight", "text").mapInArrow(run, "a long, b long")
+    dealt = stored(_dealt(members).join(nodes.select(F.col("node").alias("id"), F.col("id").alias("doc"), "body"), "id"), "similar-open")
+    wanted = _asked_for(texts, dealt.select(F.col("doc").alias("id"), "body")).withColumnRenamed("id", "doc")
+    rows = dealt.join(wanted, ["doc", "body"]).repartition(*keys).sortWithinPartitions(*keys)
+    found = stored(rows.select(*keys, "id", "tight", "text").mapInArrow(run, "a long, b long"), "similar-closing")
+    drop(dealt)
+    return found
 
 
 def set_prints(docs: DataFrame, words: int, bits: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, h0, h1, size, f0, f1, ...)`` of every text's set of shingles: 128 bits that name it, its size, and its
-    fingerprint, for which a repeated shingle counts once."""
+    """``(id, body, h0, h1, size, f0, f1, ...)`` of every row with an id: of its text's set of shingles 128 bits that name
+    it, its size, and its fingerprint, for which a repeated shingle counts once."""
     n = bits // 64
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "h0", "h1", "size", *(f"f{i}" for i in range(n)))])
+    schema = pa.schema([(c, pa.int64()) for c in ("id", "body", "h0", "h1", "size", *(f"f{i}" for i in range(n)))])
 
     def make(batch):
         found = []
-        for x in batch.column(1).to_pylist():
+        for x in batch.column(2).to_pylist():
             h = np.unique(shingle_hashes(x or "", words))
             name = xxhash.xxh128_intdigest(h.tobytes())
             found.append([name >> 64, name & (2**64 - 1), len(h), *fingerprint(h, bits)])
         columns = np.array(found, dtype=np.uint64).reshape(-1, n + 3).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(columns[:, i]) for i in range(n + 3)]], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(columns[:, i]) for i in range(n + 3)]], schema=schema)
 
-    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
-    return picked.mapInArrow(per_batch(make, schema), ", ".join(f"{f.name} long" for f in schema))
+    return _texts(docs, id_col, text_col).mapInArrow(per_batch(make, schema), ", ".join(f"{f.name} long" for f in schema))
 
 
 #: Sets with at most so many shingles are short: their majorities often hang on one shingle, most of all those of four and
@@ -492,57 +520,72 @@ def set_prints(docs: DataFrame, words: int, bits: int, id_col: str, text_col: st
 SHORT, SHORT_SHARE = 32, 0.1875
 
 
-def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, component_id)`` of every row with an id: components of texts whose shingle sets are at least as similar.
-
-    Texts with equal sets are one node.  Fingerprints of the sets, of ``bits`` bits, find candidates, pigeonring chains
-    prune them, and all edges are checked against the texts.  Where that leaves a component of candidates in parts, all
-    pairs of texts between the parts are measured, so a failed edge costs no link.  At a similarity s the share of differing
-    bits is acos(c)/pi with c = 2s/(1+s), give or take; edges well over it are none, and short sets get a wider bound.
-    """
+def similar_rows_of(docs: DataFrame, words: int, similarity: float, bits: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, body, component_id)`` of every row with an id; see :func:`similar_texts`."""
     bounded_batches(docs.sparkSession)
     names, key = [f"f{i}" for i in range(bits // 64)], ["h0", "h1"]
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     short = max(share, SHORT_SHARE)
-    prints = stored(set_prints(docs, words, bits, id_col, text_col), "fingerprints").where("doc_id IS NOT NULL")
-    classes = stored(prints.groupBy(*key, "size", *names).agg(F.min("doc_id").alias("rep")), "fingerprint-classes")
-    few = candidate_edges(classes.where(F.col("size") <= SHORT), bits, round(bits * short + 5 * (bits * short * (1 - short)) ** 0.5), short)
-    edges = stored(candidate_edges(classes, bits, round(bits * share * 1.35), share).union(few), "similar-candidates")
+    prints = stored(set_prints(docs, words, bits, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    grouped = prints.groupBy(*key, "size", *names).agg(F.min("row").alias("node"), F.min(F.struct("id", "body")).alias("first"))
+    classes = stored(grouped.select("node", *key, "size", *names, "first.id", "first.body"), "fingerprint-classes")
+    reps = classes.select(F.col("node").alias("rep"), "size", *names)
+    few = candidate_edges(reps.where(F.col("size") <= SHORT), bits, round(bits * short + 5 * (bits * short * (1 - short)) ** 0.5), short)
+    edges = stored(candidate_edges(reps, bits, round(bits * share * 1.35), share).union(few).select("a", "b").distinct(), "similar-candidates")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def make(batch):
         x, y = (batch.column(i).to_pylist() for i in (2, 3))
         yield batch.filter(pa.array([jaccard(p or "", q or "", words) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_())).select([0, 1])
 
-    asked = edges.select("a", "b").distinct()
-    texts = docs.select(docs[id_col].cast("long").alias("id"), text_or_empty(docs[text_col]).alias("text"))
-    wanted = _asked_for(texts, asked.select(F.col("a").alias("id")).union(asked.select(F.col("b").alias("id"))))
-    left, right = wanted.select(F.col("id").alias("a"), F.col("text").alias("x")), wanted.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    open_ = asked.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    checked = open_.mapInArrow(per_batch(make, schema), "a long, b long")
+    nodes, texts = classes.select("node", "id", "body"), _texts(docs, id_col, text_col)
+    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    wanted = _asked_for(texts, nodes.join(ends, "node").select("id", "body"))
+
+    def end(name: str, text: str) -> tuple[DataFrame, DataFrame]:
+        """Which text stands at an end of an edge, and the texts, under names of their own."""
+        which = nodes.select(F.col("node").alias(name), F.col("id").alias(f"{name}_id"), F.col("body").alias(f"{name}_body"))
+        return which, wanted.select(F.col("id").alias(f"{name}_id"), F.col("body").alias(f"{name}_body"), F.col("text").alias(text))
+
+    (a, left), (b, right) = end("a", "x"), end("b", "y")
+    open_ = edges.join(a, "a").join(b, "b").join(left, ["a_id", "a_body"]).join(right, ["b_id", "b_body"]).select("a", "b", "x", "y")
+    checked = stored(open_.mapInArrow(per_batch(make, schema), "a long, b long"), "similar-checked")
     tight = connected_components(checked, "a", "b").withColumnRenamed("component", "tight")
     loose = connected_components(edges, "a", "b").withColumnRenamed("component", "loose")
-    members = loose.join(tight, "node", "left").select(F.col("node").alias("id"), "loose", F.coalesce("tight", "node").alias("tight"))
-    more = closing_links(stored(members, "similar-members"), texts, words, similarity)
-    found = connected_components(tight.select(F.col("node").alias("a"), F.col("tight").alias("b")).union(more), "a", "b")
-    of = stored(classes.join(found, classes["rep"] == found["node"], "left").select(*key, F.coalesce("component", "rep").alias("component_id")), "fingerprint-components")
-    return prints.join(of, key).select("doc_id", "component_id")
+    members = stored(loose.join(tight, "node", "left").select(F.col("node").alias("id"), "loose", F.coalesce("tight", "node").alias("tight")), "similar-members")
+    more = closing_links(members, nodes, texts, words, similarity)
+    links = members.select(F.col("id").alias("a"), F.col("tight").alias("b")).union(more)
+    of = stored(classes.select("node", *key).join(named_components(nodes, links, "a", "b"), "node").select(*key, "component_id"), "fingerprint-components")
+    drop(edges, checked, members, more)
+    return prints.join(of, key).select("id", "body", "component_id")
+
+
+def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, component_id)`` of every row with an id: components of texts whose shingle sets are at least as similar,
+    named by their smallest id.
+
+    Texts with equal sets are one node, and the different texts of rows that share an id are nodes apart.  Fingerprints of
+    the sets, of ``bits`` bits, find candidates, pigeonring chains prune them, and all edges are checked against the texts.
+    Where that leaves a component of candidates in parts, all pairs of texts between the parts are measured, so a failed
+    edge costs no link.  At a similarity s the share of differing bits is acos(c)/pi with c = 2s/(1+s), give or take; edges
+    well over it are none, and short sets get a wider bound.
+    """
+    return similar_rows_of(docs, words, similarity, bits, id_col, text_col).select(F.col("id").alias("doc_id"), "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 64, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row; equal fingerprints are one node, whatever their copies.
 
     The fingerprint shows as 16 hex digits for each 64 bits.  Null and empty texts have fingerprint zero and link like
-    any others; a null id gets the component of its fingerprint, whose smallest id names it (null if it has none).
+    any others; a component is named by its smallest id, null only if all of its ids are.  Rows that share an id go by
+    their own texts.
     """
-    n = bits // 64
-    names = [f"f{i}" for i in range(n)]
-    prints = stored(fingerprints(docs, words, bits, id_col, text_col), "fingerprints")
-    classes = stored(prints.groupBy(*names).agg(F.min("doc_id").alias("rep")), "fingerprint-classes")
-    named = classes.where("rep IS NOT NULL")
-    edges = hamming_edges(named, bits, most)
-    found = connected_components(edges, "a", "b")
-    of = stored(classes.join(found, classes["rep"] == found["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id")), "fingerprint-components")
+    names = [f"f{i}" for i in range(bits // 64)]
+    prints = stored(fingerprints(docs, words, bits, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    classes = stored(prints.groupBy(*names).agg(F.min("row").alias("node"), F.min("doc_id").alias("id")), "fingerprint-classes")
+    edges = hamming_edges(classes.select(F.col("node").alias("rep"), *names), bits, most)
+    named = named_components(classes.select("node", "id"), edges, "a", "b")
+    of = stored(classes.select("node", *names).join(named, "node").drop("node"), "fingerprint-components")
     shown = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in names])
     return prints.join(of, names).select("doc_id", shown.alias("fingerprint"), "component_id")
 
@@ -550,9 +593,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 64, most: int =
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept if one document of each group of similar texts stays (the smallest id).
 
-    Columns stay as they are; rows with a null id stay; of rows that share an id all or none stay.
+    Columns stay as they are.  Rows with a null id stay.  Rows that share an id are decided by their own texts; in the
+    group whose smallest id they have, all of them stay.
     """
-    found = similar_texts(docs, words, similarity, id_col=id_col, text_col=text_col)
-    own = free_name(docs, "gone")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone[own], "left_anti")
+    found = similar_rows_of(docs, words, similarity, 512, id_col, text_col)
+    own = [free_name(docs, n) for n in ("gone_id", "gone_body")]
+    gone = found.where("id <> component_id").select("id", "body").distinct().toDF(*own)
+    return docs.join(gone, (docs[id_col].cast("long") == gone[own[0]]) & (F.xxhash64(text_or_empty(docs[text_col])) == gone[own[1]]), "left_anti")

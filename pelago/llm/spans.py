@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, free_name, per_batch, stored
+from .common import bounded_batches, drop, free_name, per_batch, stored
 
 _CUT = re.compile(r"([.!?]+[ \t]+|\n\s*)")
 _WORD = re.compile(r"\S+")
@@ -130,7 +130,10 @@ def repeated_places(docs: DataFrame, min_words: int, id_col: str, text_col: str)
     first = rows.where("NOT again").groupBy("h", "g").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first < last")
     repeated = stored(first.select("h", "g", "first"), "spans-repeated")
     others = rows.where("NOT again").join(repeated, ["h", "g"]).where(here != F.col("first")).select("doc_id", "body", "place")
-    return others.union(rows.where("again").select("doc_id", "body", "place")).groupBy("doc_id", "body").agg(F.collect_set("place").alias("places"))
+    every = others.union(rows.where("again").select("doc_id", "body", "place"))
+    places = stored(every.groupBy("doc_id", "body").agg(F.collect_set("place").alias("places")), "spans-places")
+    drop(rows, repeated)
+    return places
 
 
 def remove_repeated_spans(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", removed_col: str | None = None) -> DataFrame:
@@ -145,7 +148,7 @@ def remove_repeated_spans(docs: DataFrame, min_words: int = 20, id_col: str = "d
     names, chars = docs.columns, chars_col if chars_col in docs.columns else None
     own = [free_name(docs, n) for n in ("doc_key", "body_key", "places")]
     doc, body = _identity(docs, id_col, text_col)
-    places = stored(repeated_places(docs, min_words, id_col, text_col), "spans-places").toDF(*own)
+    places = repeated_places(docs, min_words, id_col, text_col).toDF(*own)
     joined = docs.join(places, (doc == places[own[0]]) & (body == places[own[1]]), "left").drop(*own[:2])
     schema = T.StructType([*docs.schema.fields, *([T.StructField(removed_col, T.IntegerType())] if removed_col else [])])
 

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import split_crowded
-from .common import per_batch, stored, whole_keys
-from .components import connected_components
+from .common import drop, per_batch, stored, whole_keys
+from .components import named_components
 
 BUCKET = 512
 CROWDED = 4096
@@ -119,15 +119,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
 
     ``n_links`` counts the other rows linked directly (equal vectors among them), ``component_id`` is the smallest id
     reachable, ``kept`` says whether it is the row's own.  Vectors that are null, empty, zero or hold null or non-finite
-    components link with nothing; vectors of different lengths don't link.  Repeated rows count as rows of their own.  A
-    null id keeps its links and gets its class's component.
+    components link with nothing; vectors of different lengths don't link.  Repeated rows count as rows of their own, and
+    so do different vectors with one id.  A component is named by its smallest id, null only if all of its ids are.
     """
     bits, tables = tables_for(vectors.count(), threshold, recall)
-    rows = stored(_signed(vectors, id_col, vec_col, bits, tables, seed), "vectors-signed")
+    rows = stored(_signed(vectors, id_col, vec_col, bits, tables, seed).withColumn("row", F.monotonically_increasing_id()), "vectors-signed")
     kind = np.dtype("<f4" if "float" in vectors.schema[vec_col].dataType.simpleString() else "<f8")
-    classes = stored(rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vector-classes")
-    named = classes.where("rep IS NOT NULL").select(F.col("digest").alias("d"), "rep", "n")
-    one = stored(rows.join(named, (rows["digest"] == named["d"]) & (rows["vec_id"] == named["rep"])).select("rep", "n", "dim", "vec", "signs"), "vector-representatives")
+    classes = stored(rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("row").alias("rep"), F.min("vec_id").alias("id"), F.count("*").alias("n")), "vector-classes")
+    one = stored(rows.join(classes.select("rep", "n"), F.col("row") == F.col("rep")).select("rep", "n", "dim", "vec", "signs"), "vector-representatives")
     keyed = one.select("*", F.posexplode("signs").alias("tab", "sign")).withColumn("key", F.col("dim").cast("long") * (1 << 32) + F.col("sign")).drop("sign", "dim")
     signs = one.select(F.posexplode("signs").alias("tab", "sign"), "dim").select("tab", (F.col("dim").cast("long") * (1 << 32) + F.col("sign")).alias("key"))
     keyed = split_crowded(keyed, ["tab", "key"], "rep", CROWDED, signs)
@@ -143,8 +142,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi - lo < 2:
                     continue
-                _, first = np.unique(rep[lo:hi], return_index=True)  # rows with the same id and vector are one
-                rows = lo + first
+                rows = np.arange(lo, hi)
                 x = unit(np.stack([np.frombuffer(vec[i].as_py(), dtype=kind) for i in rows.tolist()]))
                 tab, _, b1, b2 = k[lo].tolist()
                 i, j = _bucket(x, signs[rows], block[rows], tab, b1, b2, threshold)
@@ -160,9 +158,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.9
     dealt = keyed.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "block", "rep", "n", "vec", "signs")
     found = stored(dealt.mapInArrow(run, "node long, links long, root long"), "vector-links")
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
-    components = connected_components(found, "node", "root").withColumnRenamed("node", "member")
-    of = classes.join(sums, classes["rep"] == sums["node"], "left").join(components, classes["rep"] == components["member"], "left")
-    of = stored(of.select(F.col("digest").alias("d"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "vector-components")
+    components = named_components(classes.select(F.col("rep").alias("node"), "id"), found, "node", "root").withColumnRenamed("node", "member")
+    of = classes.join(sums, classes["rep"] == sums["node"], "left").join(components, classes["rep"] == components["member"])
+    of = stored(of.select(F.col("digest").alias("d"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component_id"), "vector-components")
+    drop(one, found)
     out = rows.select("vec_id", "digest").join(of, F.col("digest") == of["d"], "left")
-    component = F.coalesce("component", "vec_id")
+    component = F.when(F.col("d").isNotNull(), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
