@@ -27,9 +27,13 @@ NO_COMPRESSION, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CODES = {"none": NO_COMPRESSION, "lzw": LZW, "deflate": DEFLATE, "packbits": PACKBITS}
 
 
-def unpack_bits(data: bytes) -> bytes:
+#: The largest page that is read: a binary column holds little more.
+MOST_BYTES = 1 << 30
+
+
+def unpack_bits(data: bytes, most: int = MOST_BYTES) -> bytes:
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and len(out) < most:
         n = data[at]
         if n < 128:
             out += data[at + 1 : at + 2 + n]
@@ -60,7 +64,7 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unlzw(data: bytes) -> bytes:
+def unlzw(data: bytes, most: int = MOST_BYTES) -> bytes:
     """Codes from the high bit down, 9 to 12 bits, one code early; 256 clears and 257 ends."""
     out = bytearray()
     table: list[bytes] = []
@@ -71,7 +75,7 @@ def unlzw(data: bytes) -> bytes:
             continue
         bits -= width
         code, held = held >> bits, held & ((1 << bits) - 1)
-        if code == 257:
+        if code == 257 or len(out) >= most:
             break
         if code == 256 or not table:
             table = [bytes((i,)) for i in range(256)] + [b"", b""]
@@ -126,7 +130,12 @@ def lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-_DECODERS = {NO_COMPRESSION: bytes, LZW: unlzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+def inflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, most)
+
+
+#: Each reads about as many bytes as are asked for, however much the data would make.
+_DECODERS = {NO_COMPRESSION: lambda data, most: data[:most], LZW: unlzw, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
 _ENCODERS = {"none": bytes, "lzw": lzw, "deflate": lambda x: zlib.compress(x, 1), "packbits": pack_bits}
 
 
@@ -153,6 +162,8 @@ def _directory(data: bytes, order: str, at: int) -> tuple[dict[int, list[int]],
             continue
         code, size = FIELD_TYPES[kind]
         place = at + 10 + 12 * i
+        if size * count > len(data):
+            raise ValueError("a field is longer than the file")
         if size * count > 4:
             (place,) = struct.unpack_from(order + "I", data, place)
         fields[tag] = list(struct.unpack_from(f"{order}{count}{code}", data, place))
@@ -175,11 +186,12 @@ def read_pages(data: bytes) -> Iterator[Page]:
             tags, at = _directory(data, order, at)
             yield _page(data, tags, index)
             index += 1
-    except (struct.error, zlib.error, KeyError, IndexError) as e:
+    except (struct.error, zlib.error, KeyError, IndexError, OverflowError) as e:
         raise ValueError(f"broken TIFF file: {e}") from e
 
 
 def _page(data: bytes, tags: dict[int, list[int]], index: int) -> Page:
+    """A page, after its directory has been checked: nothing is allocated for sizes that the file doesn't fill."""
     width, height = tags[WIDTH][0], tags[HEIGHT][0]
     samples = tags.get(SAMPLES, [1])[0]
     if set(tags.get(BITS, [1])) != {8} or tags.get(PLANAR, [1])[0] != 1:
@@ -194,19 +206,32 @@ def _page(data: bytes, tags: dict[int, list[int]], index: int) -> Page:
     else:
         across, down = width, min(tags.get(ROWS_PER_STRIP, [height])[0], height)
         offsets, counts = tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
+    if not (width and height and samples and across and down):
+        raise ValueError("a page, strip or tile has no pixels")
+    if max(width * height, across * down) * samples > MOST_BYTES:
+        raise ValueError("a page is too large")
     columns = -(-width // across)
-    pixels = np.zeros((height, width, samples), dtype=np.uint8)
+    if len(offsets) != columns * -(-height // down) or len(counts) != len(offsets):
+        raise ValueError("strips or tiles are missing, or too many")
+    if any(offset + count > len(data) or not count for offset, count in zip(offsets, counts, strict=True)):
+        raise ValueError("a strip or tile lies outside the file")
+    blocks = []
     for i, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
         top, left = i // columns * down, i % columns * across
         rows = down if tiled else min(down, height - top)
-        raw = _DECODERS[compression](data[offset : offset + count])
-        if len(raw) < rows * across * samples:
+        want = rows * across * samples
+        raw = _DECODERS[compression](data[offset : offset + count], want)
+        if len(raw) < want:
             raise ValueError("a strip or tile is too short")
-        block = np.frombuffer(raw, np.uint8, rows * across * samples).reshape(rows, across, samples)
+        block = np.frombuffer(raw, np.uint8, want).reshape(rows, across, samples)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=np.uint8)
-        kept = pixels[top : top + rows, left : left + across]
-        kept[:] = block[: kept.shape[0], : kept.shape[1]]
+        blocks.append((top, left, block[: height - top, : width - left]))
+    if len(blocks) == 1:
+        return Page(index, width, height, samples, compression, predictor, tiled, blocks[0][2])
+    pixels = np.empty((height, width, samples), dtype=np.uint8)
+    for top, left, block in blocks:
+        pixels[top : top + block.shape[0], left : left + block.shape[1]] = block
     return Page(index, width, height, samples, compression, predictor, tiled, pixels)
 
 
@@ -256,7 +281,8 @@ PAGES = pa.schema([("id", pa.int64()), ("page", pa.int32()), ("width", pa.int32(
 def tiff_pages(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """One row per page: ``id, page, width, height, samples, compression, predictor, tiled, pixels, error``.
 
-    A null or broken file gives its pages up to the fault and then one row with null page and the ``error``; a file
+    A null or broken file gives its pages up to the fault and then one row with null page and the ``error``: so do
+    pages without pixels, pages of over MOST_BYTES, and strips that are missing, too short or outside the file.  A file
     without pages gives no row.  Repeated rows give their pages each.
     """
 

@@ -55,6 +55,35 @@ def test_broken_files(spark):
     assert sorted(r.id for r in found if r.error) == [2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("tile", [None, (16, 16)])
+@pytest.mark.parametrize("compression", ["none", "packbits", "lzw", "deflate"])
+def test_any_field_may_be_wrong(tile, compression):
+    """Every header field set to odd values: pages or a ValueError, and memory only for what the file can fill."""
+    pixels = np.arange(20 * 18 * 3, dtype=np.uint8).reshape(20, 18, 3)
+    good = tiff.write_pages([pixels], compression, 2, 8, tile)
+    (at,) = struct.unpack_from("<I", good, 4)
+    (n,) = struct.unpack_from("<H", good, at)
+    bad = 0
+    for i in range(n):
+        place = at + 2 + 12 * i
+        for offset, kind, values in ((2, "H", (0, 1, 3, 4, 99)), (4, "I", (0, 1, 2**16, 2**31, 2**32 - 1)), (8, "I", (0, 1, 7, 2**16, 2**31, 2**32 - 1))):
+            for v in values:
+                data = bytearray(good)
+                struct.pack_into("<" + kind, data, place + offset, v)
+                try:
+                    for page in tiff.read_pages(bytes(data)):
+                        assert page.pixels.size <= 1 << 22 and page.pixels.shape == (page.height, page.width, page.samples)
+                except ValueError:
+                    bad += 1
+    assert bad > 5 * n
+
+
+def test_bombs_are_cut_short():
+    zeros = zlib.compress(bytes(50_000_000), 9)
+    assert len(tiff.inflate(zeros, 1000)) == 1000
+    assert len(tiff.unlzw(tiff.lzw(bytes(1_000_000)), 1000)) < 6000 and len(tiff.unpack_bits(bytes((129, 7)) * 100_000, 1000)) < 1200
+
+
 def test_text_media(spark):
     texts = [None, "", "a", "a", "é" * 96, "x" * 192, "y" * 193, "long text " * 30_000]
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, feature string")
