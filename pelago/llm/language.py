@@ -125,13 +125,15 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Train on rows with a text, a language and an id whose crc32 leaves another remainder than ``held_out``.
 
     The sample is bounded by ``SAMPLE_TEXTS`` texts; of each, ``SAMPLE_WINDOWS`` stretches are taken from hashed places
-    anywhere in it.  None if there is nothing to learn from.
+    anywhere in it.  Different texts of one id are texts apart, copies of a row are one.  None if there is nothing to
+    learn from.
     """
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(remainder(F.col("id"), of) != held_out)
     room = F.greatest(F.length("text") - WINDOW, F.lit(1)).cast("long")
     cuts = F.array(*[F.substring("text", (F.pmod(F.xxhash64("id", F.lit(i)), room) + 1).cast("int"), F.lit(WINDOW)) for i in range(SAMPLE_WINDOWS)])
-    found = bounded_sample(rows, "id", SAMPLE_TEXTS, 9).select("id", "lang", cuts.alias("cuts")).collect()  # at most about SAMPLE_TEXTS short rows
+    rows = rows.select("id", "lang", F.xxhash64("text").alias("body"), cuts.alias("cuts"))
+    found = bounded_sample(rows, ["id", "lang", "body"], SAMPLE_TEXTS, 9).collect()  # about SAMPLE_TEXTS short rows at most
     found.sort(key=lambda r: (r["id"], r["lang"], r["cuts"]))
     labels = sorted({r["lang"] for r in found})
     pairs = [(windows(c.encode("utf-8", "surrogatepass"))[0], labels.index(r["lang"])) for r in found for c in r["cuts"] if _LETTER.search(c)]

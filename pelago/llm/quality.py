@@ -127,12 +127,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """Learn from labelled rows whose id's crc32 leaves another remainder than ``held_out``.
 
     At most about ``SAMPLE_TEXTS`` texts are taken, and only their features reach the driver.  Null labels and ids teach
-    nothing; of several labels for an id the larger counts.  None if there is nothing to learn from.
+    nothing; of several labels for an id the larger counts; different texts of one id are texts apart, copies of a row are
+    one.  None if there is nothing to learn from.
     """
     marked = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("label"))
     marked = marked.where("id IS NOT NULL AND label IS NOT NULL").where(remainder(F.col("id"), of) != held_out).groupBy("id").agg((F.max("label") > 0).cast("int").alias("label"))
-    chosen = bounded_sample(marked, "id", SAMPLE_TEXTS, 2)
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text"), _recorded(docs, chars_col).alias("recorded"))
+    text = text_or_empty(docs[text_col])
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text, _recorded(docs, chars_col)).alias("body"), text.alias("text"), _recorded(docs, chars_col).alias("recorded"))
+    keys = texts.select("doc_id", "body").join(marked, F.col("doc_id") == F.col("id")).select("id", "body", "label")
+    chosen = bounded_sample(keys, ["id", "body"], SAMPLE_TEXTS, 2).withColumnRenamed("body", "of")
 
     def make(batch):
         row, col, x, stats = features([t or "" for t in batch.column(2).to_pylist()], batch.column(3).to_pylist())
@@ -140,9 +143,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         lists = [[a[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)] for a in (col.astype(np.int32), x.astype(np.float32))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists[0], SPARSE[2].type), pa.array(lists[1], SPARSE[3].type), pa.array(list(stats), SPARSE[4].type)], schema=SPARSE)
 
-    joined = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "label", "text", "recorded")  # about SAMPLE_TEXTS ids
+    joined = texts.join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("body") == F.col("of")))  # about SAMPLE_TEXTS rows
+    joined = joined.groupBy("doc_id", "body").agg(F.first("label").alias("label"), F.first("text").alias("text"), F.first("recorded").alias("recorded")).select("doc_id", "label", "text", "recorded")
     found = joined.mapInArrow(per_batch(make, SPARSE), "doc_id long, label int, col array<int>, x array<float>, stats array<double>").toArrow()
-    found = found.sort_by([("doc_id", "ascending")])
+    found = found.take(np.lexsort([*np.array(found.column("stats").to_pylist(), dtype=np.float64).reshape(found.num_rows, -1).T, found.column("doc_id").to_numpy()])) if found.num_rows else found
     if not found.num_rows or len(set(found.column("label").to_pylist())) < 2:
         return None
     rows = [(np.asarray(a.values), np.asarray(b.values, dtype=np.float64)) for a, b in zip(found.column("col"), found.column("x"), strict=True)]

@@ -153,7 +153,8 @@ SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("before", pa.i
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append ``end_id``, and write shards in ascending document order under ``path``.
 
-    Equal ids are ordered by their text, null ids come first, null texts hold just the end id.
+    Texts of equal ids are ordered by their hash and then themselves, null ids come first, null texts hold just the end
+    id.  Rows with one id, or copies of a row, may lie in several partitions, so none of them has to hold them all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +181,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
         if held:
             yield close()
 
-    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), text_or_empty(docs[text_col]).alias("text"))
-    ordered = picked.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    text = text_or_empty(docs[text_col])
+    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("body"), F.monotonically_increasing_id().alias("row"))
+    ordered = picked.repartitionByRange("doc_id", "body", "row").sortWithinPartitions("doc_id", "body", "text").select("doc_id", "text")
     ordered.mapInArrow(run, "part int, shard int, before long, n_ids long, data binary").write.parquet(path)
 
 
