@@ -140,7 +140,7 @@ class Engine:
             if st.name != "timezone":
                 raise SqlError("42704", f'unrecognized configuration parameter "{st.name}"')
             return self.spark.createDataFrame([(self._zone(),)], "TimeZone string")
-        return self.foreign.run(st)
+        return self.foreign.run(st, self.spark)
 
     def _transaction(self, what: str) -> str:
         if what == "begin":

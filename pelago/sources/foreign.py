@@ -10,6 +10,7 @@ from ..errors import SqlError
 from ..plans import syntax as s
 from ..types import PgType
 from . import kafka
+from .registry import SchemaRegistry
 
 
 @dataclass
@@ -21,7 +22,11 @@ class ForeignTable:
 
 @dataclass
 class ForeignCatalog:
-    """Definitions by name.  ``topics`` lists a server's topics with their value columns, for IMPORT FOREIGN SCHEMA."""
+    """Definitions by name.
+
+    ``topics`` lists a server's topics for IMPORT FOREIGN SCHEMA: their names, or name -> (value format, columns).
+    ``reader`` reads a topic's records, ``registry`` makes the schema registry of a server's ``registry_url``.
+    """
 
     wrappers: set[str] = field(default_factory=set)
     servers: dict[str, tuple[str, dict[str, str]]] = field(default_factory=dict)
@@ -29,6 +34,7 @@ class ForeignCatalog:
     tables: dict[str, ForeignTable] = field(default_factory=dict)
     topics: object = None
     reader: object = None
+    registry: object = SchemaRegistry
 
     def has(self, name: str) -> bool:
         return name in self.tables
@@ -43,9 +49,13 @@ class ForeignCatalog:
         options = self.servers[found.server][1] | self.mappings.get(found.server, {}) | found.options
         read = self.reader or kafka.read_topic
         raw = read(spark, options, bounds)
-        return kafka.shape(raw, found.columns, options.get("value_format", "raw")), kafka.ENVELOPE | found.columns
+        shaped = kafka.shape(raw, found.columns, options.get("value_format", "raw"), self._registry(options))
+        return shaped, kafka.ENVELOPE | found.columns
+
+    def _registry(self, options: dict[str, str]):
+        return self.registry(options["registry_url"]) if "registry_url" in options else None
 
-    def run(self, st: s.Foreign) -> str:
+    def run(self, st: s.Foreign, spark: SparkSession | None = None) -> str:
         options = dict(st.options)
         if st.what == "wrapper":
             if st.name in self.wrappers:
@@ -76,9 +86,12 @@ class ForeignCatalog:
             self.tables[st.name] = ForeignTable(st.of, dict(st.columns), options)
             return "CREATE FOREIGN TABLE"
         if st.what == "import":
-            for topic, (form, columns) in (self.topics or kafka.list_topics)(self.servers[st.of][1]).items():
+            options = self.servers[st.of][1] | self.mappings.get(st.of, {})
+            found = self.topics(options) if self.topics else kafka.list_topics(spark, options)
+            for topic in found:
                 if topic.startswith("__") or st.only and topic not in st.only or topic in st.but:
                     continue
+                form, columns = found[topic] if isinstance(found, dict) else kafka.imported(topic, self._registry(options))
                 self.tables[topic] = ForeignTable(st.of, columns, {"topic": topic, "value_format": form})
             return "IMPORT FOREIGN SCHEMA"
         held = {"drop_wrapper": self.wrappers, "drop_server": self.servers, "drop_mapping": self.mappings}[st.what]

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..errors import SqlError
 from ..plans import syntax as s
 from ..types import BYTEA, INT4, INT8, TEXT, TIMESTAMPTZ, PgType
+from . import avro
 
 ENVELOPE = {"_partition": INT4, "_offset": INT8, "_timestamp": TIMESTAMPTZ, "_key": BYTEA, "_headers": TEXT}
 #: A value framed by a schema registry: a zero byte and four bytes of schema id.
@@ -95,9 +96,9 @@ def read_topic(spark: SparkSession, options: dict[str, str], bounds: Bounds | No
     return spark.read.format("kafka").options(**reader_options(options, bounds)).load()
 
 
-def shape(raw: DataFrame, columns: dict[str, PgType], value_format: str) -> DataFrame:
+def shape(raw: DataFrame, columns: dict[str, PgType], value_format: str, registry=None) -> DataFrame:
     """The envelope, then the value's columns.  A record without a value has nulls in all of them; fields that the value
-    lacks are null; nested fields of a JSON value are JSON text."""
+    lacks are null; nested fields are JSON text.  Avro values need the ``registry`` that has their schemas."""
     headers = F.to_json(F.map_from_entries(F.transform("headers", lambda h: F.struct(h["key"], F.concat(F.lit("\\x"), F.lower(F.hex(h["value"])))))))
     out = [
         F.col("partition").cast("int").alias("_partition"),
@@ -114,20 +115,19 @@ def shape(raw: DataFrame, columns: dict[str, PgType], value_format: str) -> Data
         schema = T.StructType([T.StructField(c, k.spark if k.name != "time" else T.StringType()) for c, k in columns.items()])
         value = F.from_json(body, schema)
         return raw.select(*out, *(value[c].alias(c) for c in columns))
-    if value_format in ("avro", "protobuf"):
-        raise SqlError("0A000", f"decoding {value_format} needs its schema: use decode_avro or decode_protobuf with Spark's connector")
+    if value_format == "avro":
+        if registry is None:
+            raise SqlError("HV00D", 'server option "registry_url" is required for Avro values')
+        # dates and instants come as numbers
+        held = {"date": T.IntegerType(), "timestamptz": T.LongType(), "timestamp": T.LongType(), "time": T.StringType()}
+        value = F.from_json(avro.decoded(F.col("value"), registry, FRAME), T.StructType([T.StructField(c, held.get(k.name, k.spark)) for c, k in columns.items()]))
+        back = {"date": F.date_from_unix_date, "timestamptz": F.timestamp_micros, "timestamp": lambda x: F.timestamp_micros(x).cast("timestamp_ntz")}
+        return raw.select(*out, value.alias("rec")).select(*ENVELOPE, *(back.get(k.name, lambda x: x)(F.col(f"rec.`{c}`")).alias(c) for c, k in columns.items()))
+    if value_format == "protobuf":
+        raise SqlError("0A000", "Protobuf values need a compiled schema; read them raw and decode with Spark's connector")
     raise SqlError("22023", f'unknown value format "{value_format}"')
 
 
-def decode_avro(raw: DataFrame, writer_schema: str, columns: dict[str, PgType]) -> DataFrame:
-    """Registry-framed Avro values, with Spark's avro connector."""
-    from pyspark.sql.avro.functions import from_avro
-
-    record = raw.withColumn("rec", from_avro(F.expr(f"substring(value, {FRAME + 1})"), writer_schema))
-    envelope = shape(record.withColumn("value", F.col("rec")), {"rec": BYTEA}, "raw")
-    return envelope.select(*ENVELOPE, *(F.col(f"rec.{c}").cast(k.spark).alias(c) for c, k in columns.items()))
-
-
 # How the types of the three schema languages show as columns; anything nested is JSON text.
 AVRO_TYPES = {"int": "int4", "long": "int8", "float": "float8", "double": "float8", "bytes": "bytea", "string": "text", "boolean": "boolean"}
 AVRO_LOGICAL = {"timestamp-millis": "timestamptz", "timestamp-micros": "timestamptz", "date": "date", "decimal": "numeric"}
@@ -165,5 +165,29 @@ def protobuf_columns(fields: dict[str, str]) -> dict[str, PgType]:
     return {n: PgType(PROTOBUF_TYPES.get(k, "text")) for n, k in fields.items()}
 
 
-def list_topics(options: dict[str, str]) -> dict[str, tuple[str, dict[str, PgType]]]:
-    raise SqlError("0A000", "listing topics needs a Kafka client; give the catalog a ``topics`` function")
+def imported(topic: str, registry) -> tuple[str, dict[str, PgType]]:
+    """Value format and columns of a topic by the newest schema of its values; raw bytes where there is none to read."""
+    if registry is not None:
+        kind, text = registry.latest(f"{topic}-value")
+        if kind == "AVRO" and isinstance(schema := json.loads(text), dict) and schema.get("type") == "record":
+            return "avro", avro_columns(schema)
+        if kind == "JSON":
+            return "json", json_columns(json.loads(text))
+    return "raw", {"value": BYTEA}
+
+
+def list_topics(spark: SparkSession, options: dict[str, str]) -> list[str]:
+    """The topics of a server, by the client that comes with Spark's Kafka connector; 0A000 without it."""
+    jvm = spark._jvm
+    try:
+        settings = jvm.java.util.HashMap()
+        for k, v in reader_options(options | {"topic": ""}, None).items():
+            if k.startswith("kafka."):
+                settings.put(k.removeprefix("kafka."), v)
+        client = jvm.org.apache.kafka.clients.admin.AdminClient.create(settings)
+    except TypeError as e:  # py4j takes a missing class for a package
+        raise SqlError("0A000", "listing topics needs Spark's Kafka connector; or give the catalog a ``topics`` function") from e
+    try:
+        return sorted(client.listTopics().names().get())
+    finally:
+        client.close()
