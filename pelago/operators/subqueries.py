@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import SqlError
+from ..functions import interval as iv
 from ..functions.casts import cast
 from ..functions.registry import compare
-from ..types import BOOL, UNKNOWN, Val
+from ..types import BOOL, INTERVAL, UNKNOWN, PgType, Val
 from .relation import Relation
 
 
@@ -35,10 +36,14 @@ def _summary(r: Relation, column: Column, **more: Column) -> Column:
 
 
 def matched(a: Val, r: Relation) -> tuple[Val, Val]:
+    """``a`` and the subquery's column as operands of one comparison; intervals as their canonical lengths."""
     b = Val(F.col(_only(r).column), _only(r).type)
     if UNKNOWN in (a.type, b.type) and a.type != b.type:
         a, b = (cast(a, b.type), b) if a.type == UNKNOWN else (a, cast(b, a.type))
     compare("=", a, b)  # the types must match
+    if INTERVAL in (a.type, b.type):
+        length = PgType("numeric", 38, 0)
+        return Val(iv.key(a.col), length), Val(iv.key(b.col), length)
     return a, b
 
 
