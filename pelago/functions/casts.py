@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SqlError
-from ..types import BOOL, DATE, FLOAT8, INT4, INT8, INTERVAL, NUMERIC, TEXT, TIME, TIMESTAMP, TIMESTAMPTZ, UNKNOWN, PgType, Val, fail, is_number, numeric_of
+from ..types import BOOL, DATE, FLOAT8, INT4, INT8, INTERVAL, NUMERIC, TEXT, TIME, TIMESTAMP, TIMESTAMPTZ, UNKNOWN, PgType, Val, fail, is_number, numeric_literal, numeric_of
 from . import interval as iv
 
 _NUMBER = {"int4", "int8", "numeric", "float8"}
@@ -41,7 +42,8 @@ def cast(v: Val, to: PgType) -> Val:
             return Val(_to_numeric(v.col, to), to)
         return Val(v.col, to, v.literal) if v.type.name != "numeric" else v
     if v.type == UNKNOWN or v.type == TEXT:
-        return Val(_from_text(v, to), to)
+        plain = to.name == "numeric" and not to.precision and isinstance(v.literal, str) and re.fullmatch(r"\s*[+-]?(\d+(\.\d*)?|\.\d+)\s*", v.literal)
+        return numeric_literal(Decimal(v.literal.strip())) if plain else Val(_from_text(v, to), to)
     if to == TEXT:
         return Val(text_of(v, in_cast=True), TEXT)
     if to.name in ("int4", "int8"):
@@ -49,7 +51,7 @@ def cast(v: Val, to: PgType) -> Val:
     if to.name == "numeric":
         return _number_to_numeric(v, to)
     if to == FLOAT8:
-        return Val(v.col.cast("double"), to)
+        return Val((v.col if v.whole is None else v.whole).cast("double"), to)
     if to == BOOL:
         return Val(v.col != 0, to)
     return Val(_temporal(v, to), to)
@@ -59,6 +61,8 @@ def _to_integer(v: Val, to: PgType) -> Column:
     if v.type == BOOL:
         return v.col.cast("int")
     low, high = _BOUNDS[to.name]
+    if v.whole is not None:  # no way through decimals
+        return v.whole.cast("long") if to == INT8 else v.whole.cast("int")
     whole = {"float8": lambda: F.rint(v.col), "numeric": lambda: F.round(numeric_of(v).col, 0)}.get(v.type.name, lambda: v.col)()
     if v.type.name in ("int4", "int8") and to == INT8:
         return v.col.cast("long")
@@ -105,9 +109,6 @@ def _from_text(v: Val, to: PgType) -> Column:
         ok = trimmed.rlike(r"^(?i)[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?$") | F.lower(trimmed).isin("nan", "infinity", "+infinity", "-infinity", "inf", "+inf", "-inf")
         return checked(ok, trimmed.cast("double"), "22P02", "double precision")
     if to.name == "numeric":
-        if isinstance(v.literal, str) and not to.precision and re.fullmatch(r"\s*[+-]?(\d+(\.\d*)?|\.\d+)\s*", v.literal):
-            scale = len(v.literal.strip().partition(".")[2])
-            return trimmed.cast(T.DecimalType(38, min(scale, 18)))
         value = trimmed.cast(T.DecimalType(38, max(18, to.scale or 0) if not to.precision or to.precision <= 38 - 18 + (to.scale or 0) else to.scale or 0))
         return checked(trimmed.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"), _to_numeric(value, to) if to.precision else value, "22P02", "numeric")
     if to == DATE:
@@ -183,14 +184,23 @@ def text_of(v: Val, in_cast: bool = False) -> Column:
     if v.type == INTERVAL:
         return iv.text(col)
     if v.type == TIMESTAMPTZ:
-        minutes = zone_minutes(col)
-        offset = F.concat(F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+")), F.format_string("%02d", F.floor(F.abs(minutes) / 60).cast("long")), F.when(F.abs(minutes) % 60 != 0, F.format_string(":%02d", (F.abs(minutes) % 60).cast("long"))).otherwise(F.lit("")))
-        return F.concat(col.cast("timestamp_ntz").cast("string"), offset)
+        return iv.let(col, _zoned_text)
     if v.type.name == "bytea":
         return F.concat(F.lit("\\x"), F.lower(F.hex(col)))
+    if v.shown is not None:
+        whole = col.cast("string")
+        return F.when(v.shown <= 0, F.substring_index(whole, ".", 1)).otherwise(F.substring(whole, F.lit(1), F.instr(whole, ".") + v.shown))
     return col.cast("string")
 
 
+def _zoned_text(col: Column) -> Column:
+    def parts(minutes: Column) -> Column:
+        offset = F.concat(F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+")), F.format_string("%02d", F.floor(F.abs(minutes) / 60).cast("long")), F.when(F.abs(minutes) % 60 != 0, F.format_string(":%02d", (F.abs(minutes) % 60).cast("long"))).otherwise(F.lit("")))
+        return F.concat(col.cast("timestamp_ntz").cast("string"), offset)
+
+    return iv.let(zone_minutes(col), parts)
+
+
 def zone_minutes(col: Column) -> Column:
     """The session zone's offset from UTC at an instant."""
     local = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col.cast("timestamp_ntz"))

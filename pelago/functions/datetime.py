@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,60 +20,102 @@ def epoch_micros(stamp: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), stamp)
 
 
-def _date_fields(local: Column) -> dict[str, Column]:
-    year, month, day = F.year(local), F.month(local), F.dayofmonth(local)
+Fields = dict[str, Callable[[], Column]]
+
+
+def _date_fields(local: Column) -> Fields:
+    """Integer fields of a date, each made when it is asked for."""
     return {
-        "year": year, "month": month, "day": day, "quarter": F.quarter(local), "doy": F.dayofyear(local), "dow": F.dayofweek(local) - 1, "isodow": F.weekday(local) + 1, "week": F.weekofyear(local),
-        "isoyear": F.extract(F.lit("YEAROFWEEK"), local), "century": F.ceil(year / 100).cast("int"), "decade": F.floor(year / 10).cast("int"), "millennium": F.ceil(year / 1000).cast("int"),
+        "year": lambda: F.year(local), "month": lambda: F.month(local), "day": lambda: F.dayofmonth(local), "quarter": lambda: F.quarter(local), "doy": lambda: F.dayofyear(local),
+        "dow": lambda: F.dayofweek(local) - 1, "isodow": lambda: F.weekday(local) + 1, "week": lambda: F.weekofyear(local), "isoyear": lambda: F.extract(F.lit("YEAROFWEEK"), local),
+        "century": lambda: F.ceil(F.year(local) / 100).cast("int"), "decade": lambda: F.floor(F.year(local) / 10).cast("int"), "millennium": lambda: F.ceil(F.year(local) / 1000).cast("int"),
     }
 
 
-def _clock_fields(micros: Column) -> dict[str, Column]:
-    second = micros % 60_000_000
+def _clock_fields(micros: Column) -> Fields:
+    """Fields of a time of day; ``second`` and ``milliseconds`` in microseconds."""
     return {
-        "hour": F.floor(micros / 3_600_000_000), "minute": F.floor(micros / 60_000_000) % 60,
-        "second": (second.cast("decimal(20,0)") / 1_000_000).cast("decimal(20,6)"), "milliseconds": (second.cast("decimal(20,0)") / 1000).cast("decimal(20,6)"), "microseconds": second,
+        "hour": lambda: F.floor(micros / 3_600_000_000).cast("int"), "minute": lambda: (F.floor(micros / 60_000_000) % 60).cast("int"),
+        "second": lambda: micros % 60_000_000, "milliseconds": lambda: micros % 60_000_000, "microseconds": lambda: micros % 60_000_000,
     }
 
 
 _SPELLINGS = {"years": "year", "months": "month", "mon": "month", "days": "day", "hours": "hour", "minutes": "minute", "seconds": "second", "sec": "second", "millisecond": "milliseconds", "ms": "milliseconds", "microsecond": "microseconds", "us": "microseconds", "weeks": "week", "centuries": "century", "decades": "decade", "millennia": "millennium"}
 
 
-def extract(field: str, v: Val) -> Val:
-    """``extract(field from v)`` as a numeric; fractions of seconds stay."""
-    field = _SPELLINGS.get(field.lower(), field.lower())
+#: Fields with a fraction, and how many microseconds one of their units has.
+_FRACTIONS = {"second": 1_000_000, "milliseconds": 1000, "epoch": 1_000_000}
+
+
+def _fields(v: Val) -> Fields:
+    """What ``extract`` knows of a type: integers, and microseconds for the fields with a fraction."""
     if v.type in (DATE, TIMESTAMP, TIMESTAMPTZ):
         local = v.col.cast("timestamp_ntz")
         found = _date_fields(local) | _clock_fields(micros_of_day(local))
-        if v.type == TIMESTAMPTZ:
-            found["epoch"] = (F.unix_micros(v.col).cast("decimal(20,0)") / 1_000_000).cast("decimal(38,6)")
-            found |= {"timezone": zone_minutes(v.col) * 60, "timezone_hour": (zone_minutes(v.col) / 60).cast("int"), "timezone_minute": zone_minutes(v.col) % 60}
-        else:
-            found["epoch"] = (epoch_micros(local).cast("decimal(20,0)") / 1_000_000).cast("decimal(38,6)")
-    elif v.type == TIME:
-        found = _clock_fields(v.col) | {"epoch": (v.col.cast("decimal(20,0)") / 1_000_000).cast("decimal(38,6)")}
-    elif v.type == INTERVAL:
-        months, micros = v.col["months"], v.col["micros"]
-        year = (months / 12).cast("int")
-        second = (micros % 60_000_000).cast("decimal(20,0)")
-        seconds = (year.cast("decimal(20,0)") * 31_557_600 + (months % 12).cast("decimal(20,0)") * 2_592_000 + v.col["days"].cast("decimal(20,0)") * 86_400).cast("decimal(30,0)")
-        found = {
-            "millennium": (year / 1000).cast("int"), "century": (year / 100).cast("int"), "decade": (year / 10).cast("int"), "year": year, "quarter": (months % 12 / 3).cast("int") + 1, "month": months % 12, "day": v.col["days"],
-            "hour": (micros.cast("decimal(20,0)") / 3_600_000_000).cast("long"), "minute": (micros.cast("decimal(20,0)") / 60_000_000).cast("long") % 60,
-            "second": (second / 1_000_000).cast("decimal(20,6)"), "milliseconds": (second / 1000).cast("decimal(20,6)"), "microseconds": second,
-            "epoch": (seconds + (micros.cast("decimal(20,0)") / 1_000_000).cast("decimal(26,6)")).cast("decimal(38,6)"),
+        if v.type != TIMESTAMPTZ:
+            return found | {"epoch": lambda: epoch_micros(local)}
+        return found | {
+            "epoch": lambda: F.unix_micros(v.col), "timezone": lambda: zone_minutes(v.col) * 60, "timezone_hour": lambda: (zone_minutes(v.col) / 60).cast("int"), "timezone_minute": lambda: zone_minutes(v.col) % 60,
         }
-    else:
+    if v.type == TIME:
+        return _clock_fields(v.col) | {"epoch": lambda: v.col}
+    if v.type != INTERVAL:
         raise SqlError("42883", f"function extract({v.type}) does not exist")
-    if field not in found:
+    months, micros = v.col["months"], v.col["micros"]
+
+    def year(by: int = 1) -> Column:
+        return F.call_function("div", F.call_function("div", months, F.lit(12)), F.lit(by)).cast("int")
+
+    def epoch() -> Column:
+        days = F.call_function("div", months, F.lit(12)).cast("decimal(20,0)") * 31_557_600 + (months % 12).cast("decimal(20,0)") * 2_592_000 + v.col["days"].cast("decimal(20,0)") * 86_400
+        return (days * 1_000_000 + micros).cast("decimal(32,0)")
+
+    return {
+        "millennium": lambda: year(1000), "century": lambda: year(100), "decade": lambda: year(10), "year": year, "quarter": lambda: (F.call_function("div", months % 12, F.lit(3)) + 1).cast("int"), "month": lambda: months % 12, "day": lambda: v.col["days"],
+        "hour": lambda: F.call_function("div", micros, F.lit(3_600_000_000)), "minute": lambda: F.call_function("div", micros, F.lit(60_000_000)) % 60,
+        "second": lambda: micros % 60_000_000, "milliseconds": lambda: micros % 60_000_000, "microseconds": lambda: micros % 60_000_000, "epoch": epoch,
+    }
+
+
+def _field(field: str, v: Val) -> tuple[str, Column]:
+    name, known = _SPELLINGS.get(field.lower(), field.lower()), _fields(v)
+    if name not in known:
         raise SqlError("22023", f'unit "{field}" not recognized for type {v.type}')
-    fraction = field in ("second", "milliseconds", "epoch")
-    kind = _EXACT if fraction else PgType("numeric", 38, 0)
-    return Val(F.when(v.col.isNotNull(), found[field].cast(kind.spark)), kind)
+    return name, known[name]()
+
+
+def extract(field: str, v: Val) -> Val:
+    """``extract(field from v)`` as a numeric; fractions of seconds stay, other fields are integers on the way too."""
+    name, found = _field(field, v)
+    if name not in _FRACTIONS:
+        return Val(found.cast("decimal(38,0)"), PgType("numeric", 38, 0), whole=found)
+    return Val((found.cast("decimal(32,0)") / F.lit(_FRACTIONS[name]).cast("decimal(7,0)")).cast("decimal(38,6)"), _EXACT)
 
 
 def date_part(field: str, v: Val) -> Val:
-    return Val(extract(field, v).col.cast("double"), FLOAT8)
+    name, found = _field(field, v)
+    value = found.cast("double")
+    return Val(value / _FRACTIONS[name] if name in _FRACTIONS else value, FLOAT8)
+
+
+def _chosen(name: Column, known: list[str], make: Callable[[str], Column], what: str) -> Column:
+    """One of several results by a name that is no constant; 22023 for an unknown one."""
+    low = F.lower(name)
+    out = F.when(low.isNull(), F.lit(None))
+    for k in known:
+        spelled = [k, *(s for s, of in _SPELLINGS.items() if of == k)]
+        out = out.when(low.isin(*spelled), make(k))
+    return out.otherwise(F.raise_error(F.concat(F.lit('22023: unit "'), name, F.lit(f'" not recognized for type {what}'))))
+
+
+def date_part_by(name: Column, v: Val) -> Val:
+    return Val(iv.let(v.col, lambda x: _chosen(name, list(_fields(v)), lambda k: date_part(k, Val(x, v.type)).col, str(v.type))), FLOAT8)
+
+
+def date_trunc_by(name: Column, v: Val, zone: Column | None) -> Val:
+    units = [u for u in _TRUNCATED if not (v.type == INTERVAL and u == "week")]
+    kind = date_trunc("day", v, zone).type
+    return Val(iv.let(v.col, lambda x: _chosen(name, units, lambda k: date_trunc(k, Val(x, v.type), zone).col, str(v.type))), kind)
 
 
 _TRUNCATED = ("microseconds", "milliseconds", "second", "minute", "hour", "day", "week", "month", "quarter", "year", "decade", "century", "millennium")
@@ -120,6 +164,10 @@ def _trunc_interval(unit: str, v: Column) -> Column:
 
 def age(a: Column, b: Column) -> Column:
     """Years, months and days between two timestamps, borrowed from the calendar, and the rest of a day."""
+    return iv.let(a, lambda x: iv.let(b, lambda y: _age(x, y)))
+
+
+def _age(a: Column, b: Column) -> Column:
     later = a >= b
     hi, lo = F.when(later, a).otherwise(b), F.when(later, b).otherwise(a)
     micros = micros_of_day(hi) - micros_of_day(lo)

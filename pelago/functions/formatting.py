@@ -1,15 +1,16 @@
 """``to_char``, ``to_date`` and ``to_timestamp``: templates are compiled to column expressions.
 
-Dates, timestamps and intervals become a concatenation of pieces.  Numbers go through :class:`NumberTemplate` in Arrow
-batches, since a template's sign and blanks depend on the value's digits.  A template that is no constant is compiled
-for each distinct value of its batch.
+Dates, timestamps and intervals become a concatenation of pieces, exact numbers a layout of digits, blanks and marks.
+Where the template is no constant, and for doubles, each distinct template of an Arrow batch is compiled once.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import functools
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SqlError
-from ..types import DATE, INTERVAL, TIMESTAMPTZ, TIME, Val
+from ..types import DATE, FLOAT8, INTERVAL, TIMESTAMPTZ, TIME, Val, numeric_of
 from .casts import micros_of_day, zone_minutes
 from .datetime import epoch_micros
+from .interval import let
 
 # Month and day names, Roman numerals, and template patterns, longest first where one begins another.
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
@@ -67,30 +69,49 @@ def compile_template(template: str) -> list[Piece]:
     return out
 
 
-def _fields(v: Val) -> dict[str, Column]:
-    zero = F.lit(0)
+class _Lazy(dict):
+    """Columns by name, each made when it is first asked for."""
+
+    def __missing__(self, name: str) -> Column | None:
+        return self.setdefault(name, self.makers[name]())
+
+    def __init__(self, makers: dict[str, Callable[[], Column | None]]):
+        super().__init__()
+        self.makers = makers
+
+
+def _fields(v: Val) -> _Lazy:
+    names = ("year", "month", "day", "isoyear", "isoweek", "isodow", "dow", "doy")
+    makers: dict[str, Callable[[], Column | None]] = dict.fromkeys(names, lambda: F.lit(0)) | {"offset": lambda: None}
     if v.type == INTERVAL:
         months, micros = v.col["months"], v.col["micros"]
-        out = {"year": (months / 12).cast("int"), "month": months % 12, "day": v.col["days"], "isoyear": zero, "isoweek": zero, "isodow": zero, "dow": zero, "doy": zero, "offset": None}
-        hours = (micros.cast("decimal(20,0)") / 3_600_000_000).cast("long")
+        makers |= {"year": lambda: F.call_function("div", months, F.lit(12)), "month": lambda: months % 12, "day": lambda: v.col["days"]}
+        hours = F.call_function("div", micros, F.lit(3_600_000_000))
     elif v.type == TIME:
         micros, hours = v.col, F.floor(v.col / 3_600_000_000)
-        out = {k: zero for k in ("year", "month", "day", "isoyear", "isoweek", "isodow", "dow", "doy")} | {"offset": None}
     else:
         local = v.col.cast("timestamp_ntz")
         micros = micros_of_day(local)
         hours = F.floor(micros / 3_600_000_000)
-        out = {
-            "year": F.year(local), "month": F.month(local), "day": F.dayofmonth(local), "isoyear": F.extract(F.lit("YEAROFWEEK"), local), "isoweek": F.weekofyear(local),
-            "isodow": F.weekday(local) + 1, "dow": F.dayofweek(local) - 1, "doy": F.dayofyear(local), "offset": zone_minutes(v.col) if v.type == TIMESTAMPTZ else None,
+        makers |= {
+            "year": lambda: F.year(local), "month": lambda: F.month(local), "day": lambda: F.dayofmonth(local), "isoyear": lambda: F.extract(F.lit("YEAROFWEEK"), local), "isoweek": lambda: F.weekofyear(local),
+            "isodow": lambda: F.weekday(local) + 1, "dow": lambda: F.dayofweek(local) - 1, "doy": lambda: F.dayofyear(local), "offset": lambda: zone_minutes(v.col) if v.type == TIMESTAMPTZ else None,
         }
     rest = F.abs(micros) % 3_600_000_000
-    return out | {"hour": hours, "minute": F.floor(rest / 60_000_000), "second": F.floor(rest % 60_000_000 / 1_000_000), "micro": rest % 1_000_000, "quarter": F.floor((out["month"] - 1) / 3) + 1}
+    out = _Lazy(makers)
+    makers |= {"hour": lambda: hours, "minute": lambda: F.floor(rest / 60_000_000), "second": lambda: F.floor(rest % 60_000_000 / 1_000_000), "micro": lambda: rest % 1_000_000, "quarter": lambda: F.floor((out["month"] - 1) / 3) + 1}
+    return out
+
+
+def _zeros(value: Column, width: int) -> Column:
+    """An integer with zeros up to ``width``; a longer one whole."""
+    digits = value.cast("string")
+    return F.when((value >= 0) & (value < 10**width), F.lpad(digits, width, "0")).when(value >= 0, digits).otherwise(F.format_string(f"%0{width}d", value.cast("long")))
 
 
 def _number(value: Column, width: int, fill: bool) -> Column:
     value = value.cast("long")
-    return F.format_string(f"%0{width}d", value) if fill and width > 1 else value.cast("string")
+    return _zeros(value, width) if fill and width > 1 else value.cast("string")
 
 
 def _cased(names: tuple[str, ...], index: Column, pattern: str, short: int | None, width: int) -> Column:
@@ -121,7 +142,7 @@ def _piece(p: Piece, f: dict[str, Column]) -> Column:
         return _number(*simple[name], fill)
     if name[:2] == "FF":
         width = int(name[2])
-        return F.format_string(f"%0{width}d", F.floor(f["micro"] / 10 ** (6 - width)).cast("long"))
+        return _zeros(F.floor(f["micro"] / 10 ** (6 - width)).cast("long"), width)
     if name.lower() in ("month", "mon"):
         return _cased(MONTHS, f["month"], name, 3 if len(name) == 3 else None, 9 if fill and len(name) == 5 else 0)
     if name.lower() in ("day", "dy"):
@@ -154,6 +175,10 @@ def _ordinal(number: Column, case: str) -> Column:
 
 
 def to_char_temporal(v: Val, template: str) -> Column:
+    return let(v.col, lambda x: _to_char_temporal(Val(x, v.type), template))
+
+
+def _to_char_temporal(v: Val, template: str) -> Column:
     f = _fields(v)
     parts = []
     for p in compile_template(template):
@@ -165,6 +190,44 @@ def to_char_temporal(v: Val, template: str) -> Column:
     return F.when(v.col.isNotNull(), F.concat(*parts) if parts else F.lit(""))
 
 
+def to_char_by(v: Val, template: Column) -> Column:
+    """``to_char`` by a template that is no constant: all values a pattern may stand for are made once as columns, and
+    each row's template picks among them in Arrow batches, compiled once for each distinct one."""
+    names = {(pattern, fill): f"p{2 * i + fill}" for i, pattern in enumerate(PATTERNS) for fill in (True, False)}
+
+    def pieces(x: Column) -> Column:
+        fields = _fields(Val(x, v.type))
+        return F.struct(*(_piece(Piece(pattern, "", fill), fields).alias(name) for (pattern, fill), name in names.items()))
+
+    @F.pandas_udf("string")
+    def run(values: pd.DataFrame, templates: pd.Series) -> pd.Series:
+        columns = {key: values[name].tolist() for key, name in names.items()}
+        out = []
+        for i, t in enumerate(templates):
+            if t is None:
+                out.append(None)
+                continue
+            parts = []
+            for p in _compiled(t):
+                text = p.text if p.pattern is None else columns[p.pattern, p.fill][i]
+                parts.append(text + (_suffix(text, p.ordinal) if p.ordinal and p.pattern else ""))
+            out.append("".join(parts))
+        return pd.Series(out, dtype=object)
+
+    return F.when(v.col.isNotNull(), run(let(v.col, pieces), template))
+
+
+@functools.lru_cache(maxsize=256)
+def _compiled(template: str) -> list[Piece]:
+    return compile_template(template)
+
+
+def _suffix(number: str, case: str) -> str:
+    n = int("".join(c for c in number if c.isdigit()) or 0) % 100
+    suffix = "th" if 11 <= n <= 13 else {1: "st", 2: "nd", 3: "rd"}.get(n % 10, "th")
+    return suffix.upper() if case == "TH" else suffix
+
+
 # -- numbers
 
 
@@ -225,7 +288,9 @@ class NumberTemplate:
     def _digits(self, value: Decimal) -> tuple[str, str, bool]:
         """Digits before and after the point, and whether they fit."""
         places = len(self.fraction)
-        shown = abs(value.scaleb(self.shift)).quantize(Decimal(1).scaleb(-places), rounding=ROUND_HALF_UP)
+        with decimal.localcontext() as ctx:
+            ctx.prec = 400  # a double has up to 309 digits before the point
+            shown = abs(value.scaleb(self.shift)).quantize(Decimal(1).scaleb(-places), rounding=ROUND_HALF_UP)
         before, _, after = f"{shown:f}".partition(".")
         before = before.lstrip("0")
         room = sum(c != "," for c in self.whole)
@@ -292,11 +357,82 @@ class NumberTemplate:
         return number
 
 
-def to_char_number(v: Val, template: Column) -> Column:
-    kind = T.StringType()
+    def columns(self, value: Column, kind: T.DecimalType) -> Column | None:
+        """The same layout as a column expression; None where a decimal has no room for the digits."""
+        places, before_point = len(self.fraction), kind.precision - kind.scale + self.shift + 1
+        if before_point + max(places, kind.scale) > 38:
+            return None
+        wide = T.DecimalType(38, max(places, kind.scale))
+        shown = F.round(F.abs(value).cast(wide) * F.lit(10**self.shift).cast(T.DecimalType(self.shift + 1, 0)) if self.shift else F.abs(value).cast(wide), places).cast(T.DecimalType(38, places))
+        digits = shown.cast("string")
+        before = F.ltrim(F.substring_index(digits, ".", 1), F.lit("0"))
+        after = F.substring_index(digits, ".", -1) if places else F.lit("")
+        slots = [c for c in self.whole if c != ","]
+        width, size = len(slots), F.length(before)
+        fits = (size <= width) & F.lit(bool(width))
+        negative = (value < 0) & (~fits | (shown != 0))
+        force = slots.index("0") if "0" in slots else width
+        first = F.least(width - size, F.lit(force))
+        if slots and not self.fraction and force == width:
+            first = F.least(first, F.lit(width - 1))  # a lone zero shows where there is no fraction
+        padded = F.lpad(before, width, "0")
+        parts, blanks, at, run = [], [], 0, 0
+        for c in [*self.whole, ""]:
+            if c in (",", ""):
+                parts += ([F.substring(padded, at - run + 1, run)] if run else []) + ([F.lit(",")] if c else [])
+                run = 0
+            else:
+                at, run = at + 1, run + 1
+        for n in range(width + 1):  # blanks if the first n slots are
+            seen, count = 0, 0
+            for c in self.whole:
+                count += seen <= n if c == "," else seen < n
+                seen += c != ","
+            blanks.append(count)
+        lead = F.when(fits, F.element_at(F.array(*map(F.lit, blanks)), F.greatest(first, F.lit(0)) + 1)).otherwise(0)
+        body = F.concat(*parts) if parts else F.lit("")
+        body = F.when(fits, F.substring(body, lead + 1, F.lit(len(self.whole)))).otherwise(F.lit("".join("," if c == "," else "#" for c in self.whole)))
+        tail = F.when(fits, after).otherwise(F.lit("#" * places))
+        if not self.fill:
+            keep = max((i + 1 for i, c in enumerate(self.fraction) if c == "0"), default=0)
+            trimmed = F.rtrim(after, F.lit("0"))
+            tail = F.when(fits, F.substring(after, F.lit(1), F.greatest(F.length(trimmed), F.lit(keep)))).otherwise(tail)
+        spaces = F.repeat(F.lit(" "), lead) if self.fill else F.lit("")
+        core = F.concat(body, F.lit("." if self.point else ""), tail)
+
+        def mark(yes: str, no: str) -> Column:
+            return F.when(negative, F.lit(yes)).otherwise(F.lit(no))
+
+        blank = " " if self.fill else ""
+        side = self.sign[-1:]
+        if self.sign in ("", "S<"):
+            out = F.concat(spaces, mark("-", "+" if self.sign else blank), core)
+        elif self.sign == "PR":
+            out = F.concat(spaces, mark("<", blank), core, mark(">", blank))
+        elif self.sign[:2] == "PL":
+            inner = F.concat(spaces, mark("-", blank), core)
+            plus = mark(blank, "+")
+            out = F.concat(plus, inner) if side == "<" else F.concat(inner, plus)
+        else:
+            sign = mark("-", "+" if self.sign[0] == "S" else blank)
+            out = F.concat(sign, spaces, core) if side == "<" else F.concat(spaces, core, sign)
+        if self.money:
+            out = F.concat(F.lit("$"), out) if self.money == "<" else F.concat(out, F.lit("$"))
+        if self.ordinal:
+            out = F.when(fits & ~negative, F.concat(out, _ordinal(F.concat(F.lit("0"), before), self.ordinal))).otherwise(out)
+        return out
+
+
+def to_char_number(v: Val, template: Val) -> Column:
+    """A constant template becomes a column expression; one that is none, and doubles, go in Arrow batches."""
+    if isinstance(template.literal, str) and v.type != FLOAT8:
+        exact = numeric_of(v)
+        made = NumberTemplate.parse(template.literal).columns(exact.col, exact.type.spark)
+        if made is not None:
+            return F.when(v.col.isNotNull(), made)
     as_text = v.col.cast("string")
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf("string")
     def run(values: pd.Series, templates: pd.Series) -> pd.Series:
         out = []
         for value, template in zip(values, templates, strict=True):
@@ -308,7 +444,7 @@ def to_char_number(v: Val, template: Column) -> Column:
                 out.append(NumberTemplate.parse(template).format(Decimal(value)))
         return pd.Series(out, dtype=object)
 
-    return run(as_text, template)
+    return run(as_text, template.col)
 
 
 # -- parsing

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from fractions import Fraction
 
 import pandas as pd
@@ -61,6 +62,11 @@ def parse(text: str) -> tuple[int, int, int]:
     return tuple(-x for x in out) if ago else out
 
 
+def let(v: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(v)``, with a long expression bound to a name: it is planned and evaluated once, however often it is used."""
+    return make(v) if len(repr(v)) < 100 else F.element_at(F.transform(F.array(v), make), 1)
+
+
 def literal(value: tuple[int, int, int]) -> Column:
     return struct(*(F.lit(x) for x in value))
 
@@ -82,8 +88,7 @@ def parse_column(text: Column) -> Column:
 
 def key(v: Column) -> Column:
     """What intervals compare, group and sort by: 30-day months and 24-hour days, in microseconds."""
-    days = v["months"].cast("decimal(38,0)") * 30 + v["days"]
-    return (days * DAY + v["micros"]).cast("decimal(38,0)")
+    return let(v, lambda x: ((x["months"].cast("decimal(38,0)") * 30 + x["days"]) * DAY + x["micros"]).cast("decimal(38,0)"))
 
 
 def add(a: Column, b: Column, sign: int = 1) -> Column:
@@ -127,6 +132,10 @@ def between(a: Column, b: Column) -> Column:
 
 
 def justify_days(v: Column) -> Column:
+    return let(v, _justify_days)
+
+
+def _justify_days(v: Column) -> Column:
     carry = (v["days"] / 30).cast("int")
     months, days = v["months"] + carry, v["days"] - carry * 30
     fix = F.when((months > 0) & (days < 0), -1).when((months < 0) & (days > 0), 1).otherwise(0)
@@ -134,6 +143,10 @@ def justify_days(v: Column) -> Column:
 
 
 def justify_hours(v: Column) -> Column:
+    return let(v, _justify_hours)
+
+
+def _justify_hours(v: Column) -> Column:
     carry = F.when(v["micros"] >= 0, F.floor(v["micros"] / DAY)).otherwise(F.ceil(v["micros"] / DAY))
     days, micros = v["days"] + carry, v["micros"] - carry * DAY
     fix = F.when((days > 0) & (micros < 0), -1).when((days < 0) & (micros > 0), 1).otherwise(0)
@@ -142,6 +155,10 @@ def justify_hours(v: Column) -> Column:
 
 def justify_interval(v: Column) -> Column:
     """Microseconds into days, days into months, and then one sign throughout."""
+    return let(v, _justify_interval)
+
+
+def _justify_interval(v: Column) -> Column:
     hours = F.when(v["micros"] >= 0, F.floor(v["micros"] / DAY)).otherwise(F.ceil(v["micros"] / DAY))
     days, micros = v["days"] + hours, v["micros"] - hours * DAY
     months_carry = F.when(days >= 0, F.floor(days / 30)).otherwise(F.ceil(days / 30))
@@ -156,6 +173,10 @@ def justify_interval(v: Column) -> Column:
 
 def text(v: Column) -> Column:
     """``1 year 2 mons 3 days 04:05:06``; a positive part after a negative one gets its plus sign."""
+    return let(v, _text)
+
+
+def _text(v: Column) -> Column:
     years, months = (v["months"] / 12).cast("int"), v["months"] % 12
     after_year = years < 0
     after_month = F.when(months != 0, months < 0).otherwise(after_year)

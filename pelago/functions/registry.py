@@ -250,8 +250,8 @@ def _now(ctx: Context, which: str):
 @define("now", "current_timestamp", "transaction_timestamp", "statement_timestamp", "clock_timestamp", least=0)
 def _clock(a, ctx, name):
     if name == "clock_timestamp":
-        wall = F.udf(lambda: __import__("time").time_ns() // 1000, "long").asNondeterministic()
-        return Val(F.timestamp_micros(wall()), TIMESTAMPTZ)
+        # the JVM's clock, read for every row: ISO text in UTC
+        return Val(F.java_method(F.lit("java.time.Instant"), F.lit("now")).cast("timestamp_ltz"), TIMESTAMPTZ)
     return Val(_now(ctx, "statement" if name == "statement_timestamp" else "transaction"), TIMESTAMPTZ)
 
 
@@ -263,20 +263,17 @@ def _local(a, ctx, name):
     return Val(local, TIMESTAMP) if name == "localtimestamp" else Val(micros_of_day(local), TIME)
 
 
-def _literal_text(name: str, v: Val) -> str:
-    if not isinstance(v.literal, str):
-        raise SqlError("0A000", f"the first argument of {name} must be a constant")
-    return v.literal
-
-
 @define("date_part", least=2)
 def _date_part(a, ctx):
-    return dt.date_part(_literal_text("date_part", a[0]), a[1])
+    _text("date_part", a, 0)
+    return dt.date_part(a[0].literal, a[1]) if isinstance(a[0].literal, str) else dt.date_part_by(a[0].col, a[1])
 
 
 @define("date_trunc", least=2, most=3)
 def _date_trunc(a, ctx):
-    return dt.date_trunc(_literal_text("date_trunc", a[0]), a[1], a[2].col if len(a) > 2 else None)
+    _text("date_trunc", a, 0, 2)
+    zone = a[2].col if len(a) > 2 else None
+    return dt.date_trunc(a[0].literal, a[1], zone) if isinstance(a[0].literal, str) else dt.date_trunc_by(a[0].col, a[1], zone)
 
 
 @define("age", least=1, most=2)
@@ -297,12 +294,12 @@ def _timezone(a, ctx):
 def _to_char(a, ctx):
     v, template = a
     if is_number(v.type):
-        return Val(formatting.to_char_number(v, template.col), TEXT)
+        return Val(formatting.to_char_number(v, template), TEXT)
     if v.type not in (DATE, TIME, TIMESTAMP, TIMESTAMPTZ, INTERVAL):
         raise _no("to_char", a)
-    if template.literal is None:
-        raise SqlError("0A000", "the template of to_char for dates and times must be a constant")
-    return Val(formatting.to_char_temporal(v, template.literal), TEXT)
+    _text("to_char", a, 1)
+    made = formatting.to_char_temporal(v, template.literal) if isinstance(template.literal, str) else formatting.to_char_by(v, template.col)
+    return Val(made, TEXT)
 
 
 @define("to_timestamp", least=1, most=2)

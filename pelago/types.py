@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,11 +78,27 @@ def type_of(spark_type: T.DataType) -> PgType:
 
 @dataclass(frozen=True)
 class Val:
-    """A column with its PostgreSQL type; ``literal`` holds a constant's value where it is known."""
+    """A column with its PostgreSQL type.
+
+    ``literal`` holds a constant's value where it is known.  Of a numeric, ``shown`` is the number of digits after the
+    point that its text has, where that depends on the value, and ``whole`` the same value as an integer column, where it
+    is one.
+    """
 
     col: Column
     type: PgType
     literal: object = None
+    shown: Column | None = None
+    whole: Column | None = None
+
+
+def numeric_literal(v: Decimal) -> Val:
+    """A constant with its own digits and scale; 22003 for more than a decimal holds."""
+    scale = max(0, -v.as_tuple().exponent)
+    precision = max(len(v.as_tuple().digits) + max(0, v.as_tuple().exponent), scale, 1)
+    if precision > MAX_DIGITS:
+        raise SqlError("22003", f"a numeric of more than {MAX_DIGITS} digits is not supported")
+    return Val(F.lit(f"{v:f}").cast(T.DecimalType(precision, scale)), PgType("numeric", precision, scale), v)
 
 
 _TOWER = {"int4": 0, "int8": 1, "numeric": 2, "float8": 3}
