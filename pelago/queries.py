@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import fixed_queries
 from .engine import Engine
 from .plans.parser import parse
 from .sources.kafka import bounds_of
@@ -25,7 +26,7 @@ SHARED = {
     "filter_predicates": "SELECT o_orderkey FROM orders WHERE (o_totalprice > 1000 AND o_orderstatus = 'F') OR NOT (o_orderpriority <> '1-URGENT')",
     "is_null_case": "SELECT c_custkey, CASE WHEN nullif(c_mktsegment, 'BUILDING') IS NULL THEN 'none' WHEN c_acctbal < 0 THEN 'owes' ELSE 'has' END AS kind, CASE c_nationkey WHEN 1 THEN 'one' WHEN 2 THEN 'two' END AS nk FROM customer",
     "in_list_3vl": "SELECT c_custkey, c_nationkey IN (1, 2, NULL) AS a, c_nationkey NOT IN (1, 2) AS b, c_nationkey NOT IN (1, NULL) AS c FROM customer",
-    "between": "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 10 AND p_retailprice NOT BETWEEN 900 AND 1000",
+    "between": "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 10 AND p_retailprice NOT BETWEEN 920 AND 980",
     "like_ilike": "SELECT p_partkey, p_name LIKE '%a_e%' AS a, p_name ILIKE 'P%' AS b, p_type NOT LIKE '%BRASS' AS c FROM part",
     "distinct": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
     "limit_offset": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 10",
@@ -54,7 +55,7 @@ SHARED = {
     "union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier",
     "intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
     "intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
-    "except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 400000",
     "except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
     "setop_precedence": "SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey FROM region INTERSECT SELECT 3",
     "setop_order": "(SELECT n_nationkey AS k FROM nation ORDER BY n_nationkey DESC LIMIT 3) UNION ALL SELECT r_regionkey FROM region ORDER BY k LIMIT 6",
@@ -64,10 +65,10 @@ SHARED = {
     "scalar_subquery": "SELECT o_orderkey FROM orders WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders)",
     "scalar_subquery_empty": "SELECT r_regionkey, (SELECT n_name FROM nation WHERE n_nationkey < 0) AS nothing FROM region",
     "exists": "SELECT r_name FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey > 20)",
-    "not_exists": "SELECT r_name FROM region WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey > 20)",
+    "not_exists": "SELECT r_name FROM region WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey > 200)",
     "in_subquery": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)",
-    "not_in_subquery": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
-    "not_in_subquery_null": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM orders)",
+    "not_in_subquery": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
+    "not_in_subquery_null": "SELECT 'nulls' AS what, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 1) FROM orders) UNION ALL SELECT 'empty', count(*) FROM customer WHERE nullif(c_custkey, 5) NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice < 0) UNION ALL SELECT 'null argument', count(*) FROM customer WHERE nullif(c_custkey, 5) NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
     "in_subquery_value": "SELECT c_custkey, c_custkey IN (SELECT nullif(o_custkey, 7) FROM orders) AS has FROM customer",
     "any_subquery": "SELECT p_partkey FROM part WHERE p_size > ANY (SELECT p_size FROM part WHERE p_size > 40)",
     "all_subquery": "SELECT p_partkey FROM part WHERE p_retailprice >= ALL (SELECT p_retailprice FROM part WHERE p_size < 10)",
@@ -96,7 +97,7 @@ PAIRS = {
     "agg_expression": ("SELECT n_regionkey, abs(0 - sum(n_nationkey)) AS s, CASE WHEN count(*) > 4 THEN 'many' ELSE 'few' END AS c FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, CAST(abs(0 - sum(n_nationkey)) AS BIGINT) AS s, CASE WHEN count(*) > 4 THEN 'many' ELSE 'few' END AS c FROM nation GROUP BY n_regionkey"),
     "agg_numeric": ("SELECT l_returnflag, sum(l_discount::numeric(10,2))::float8 AS s, max(l_tax::numeric(6,3))::text AS m FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, CAST(sum(CAST(l_discount AS DECIMAL(10,2))) AS DOUBLE) AS s, CAST(max(CAST(l_tax AS DECIMAL(6,3))) AS VARCHAR) AS m FROM lineitem GROUP BY l_returnflag"),
     "int_division": ("SELECT o_orderkey, o_orderkey / 7 AS a, -o_orderkey / 7 AS b, o_custkey / 2 AS c FROM orders", "SELECT o_orderkey, o_orderkey // 7 AS a, -o_orderkey // 7 AS b, o_custkey // 2 AS c FROM orders"),
-    "numeric_division": ("SELECT n_nationkey, (n_nationkey::numeric(10,2) / 7)::float8 AS a FROM nation", "SELECT n_nationkey, CAST(round(CAST(n_nationkey AS DOUBLE) / 7, 16) AS DOUBLE) AS a FROM nation"),
+    "numeric_division_double": ("SELECT n_nationkey, (n_nationkey::numeric(10,2) / 7)::float8 AS a FROM nation", "SELECT n_nationkey, CAST(round(CAST(n_nationkey AS DOUBLE) / 7, 16) AS DOUBLE) AS a FROM nation"),
     "casts": ("SELECT l_orderkey, l_linenumber, l_extendedprice::int AS a, l_quantity::bigint AS b, (l_quantity / 2)::int AS c, l_linenumber::text AS d, l_linenumber::float8 AS e, (l_linenumber > 3)::int AS f, l_linenumber::boolean AS g FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS INTEGER) AS a, CAST(l_quantity AS BIGINT) AS b, CAST(l_quantity / 2 AS INTEGER) AS c, CAST(l_linenumber AS VARCHAR) AS d, CAST(l_linenumber AS DOUBLE) AS e, CAST(l_linenumber > 3 AS INTEGER) AS f, CAST(l_linenumber AS BOOLEAN) AS g FROM lineitem"),
     "cast_text": ("SELECT n_nationkey, ('00' || n_nationkey)::int AS a, ('1.5' || n_nationkey)::float8 AS b, CASE WHEN n_nationkey > 9 THEN 'yes' ELSE 'off' END::boolean AS c, '2020-01-05'::date::text AS d FROM nation", "SELECT n_nationkey, CAST('00' || n_nationkey AS INTEGER) AS a, CAST('1.5' || n_nationkey AS DOUBLE) AS b, n_nationkey > 9 AS c, '2020-01-05' AS d FROM nation"),
     "math_round": ("SELECT l_orderkey, l_linenumber, round(l_quantity / 2) AS a, floor(l_extendedprice) AS b, ceil(l_extendedprice) AS c, trunc(-l_extendedprice) AS d, round(l_extendedprice::numeric(12,2), 1)::float8 AS e, sign(l_linenumber - 3) AS f, abs(-l_quantity) AS g FROM lineitem", "SELECT l_orderkey, l_linenumber, round_even(l_quantity / 2, 0) AS a, floor(l_extendedprice) AS b, ceil(l_extendedprice) AS c, trunc(-l_extendedprice) AS d, CAST(round(CAST(l_extendedprice AS DECIMAL(12,2)), 1) AS DOUBLE) AS e, CAST(sign(l_linenumber - 3) AS INTEGER) AS f, abs(-l_quantity) AS g FROM lineitem"),
@@ -115,9 +116,11 @@ PAIRS = {
     "to_char_number": ("SELECT l_orderkey, l_linenumber, to_char(l_extendedprice::numeric(12,2), 'FM999,999,990.00') AS a FROM lineitem", "SELECT l_orderkey, l_linenumber, format('{:,.2f}', CAST(l_extendedprice AS DOUBLE)) AS a FROM lineitem"),
     "to_date_parse": ("SELECT o_orderkey, to_date(to_char(o_orderdate, 'DD Mon YYYY'), 'DD Mon YYYY')::text AS d FROM orders", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d FROM orders"),
     "to_timestamp_epoch": ("SELECT event_id, extract(epoch FROM to_timestamp(event_id * 1000))::bigint AS e FROM events", "SELECT event_id, event_id * 1000 AS e FROM events"),
-    "at_time_zone": ("SELECT event_id, (ts AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC')::text AS a FROM events", None),
+    "at_time_zone": ("SELECT event_id, to_char(ts AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC', 'YYYY-MM-DD HH24:MI:SS.US') AS a FROM events", "SELECT event_id, strftime(ts + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS a FROM events"),
     "time_of_day": ("SELECT event_id, extract(hour FROM ts::time + interval '20 hours')::int AS h FROM events", "SELECT event_id, CAST((extract(hour FROM ts) + 20) % 24 AS INTEGER) AS h FROM events"),
-    "initcap": ("SELECT p_partkey, initcap(p_name || '-x ' || p_type) AS a FROM part", None),
+    "initcap": ("SELECT p_partkey, initcap(p_name || '-x ' || p_type) AS a FROM part", "SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(p_name || '-x ' || p_type, '[a-zA-Z0-9]+|[^a-zA-Z0-9]+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS a FROM part"),
+    "agg_float": ("SELECT l_returnflag, round(avg(l_quantity) * 1000000) AS a, round(avg(DISTINCT l_discount) * 1000000) AS d FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, round_even(avg(l_quantity) * 1000000, 0) AS a, round_even(avg(DISTINCT l_discount) * 1000000, 0) AS d FROM lineitem GROUP BY l_returnflag"),
+    "runtime_fields": ("SELECT o_orderkey, date_part(CASE WHEN mod(o_orderkey, 2) = 0 THEN 'year' ELSE 'doy' END, o_orderdate) AS p, date_trunc(CASE WHEN mod(o_orderkey, 2) = 0 THEN 'month' ELSE 'year' END, o_orderdate)::text AS t, to_char(o_orderdate, CASE WHEN mod(o_orderkey, 2) = 0 THEN 'YYYY-MM' ELSE 'FMMonth DDD' END) AS c FROM orders", "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 2 = 0 THEN year(o_orderdate) ELSE dayofyear(o_orderdate) END AS DOUBLE) AS p, strftime(CASE WHEN o_orderkey % 2 = 0 THEN date_trunc('month', o_orderdate) ELSE date_trunc('year', o_orderdate) END, '%Y-%m-%d %H:%M:%S') AS t, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%B %j') END AS c FROM orders"),
     "trim_unicode": ("SELECT n_nationkey, btrim('  ' || n_name || '  ') AS a, length(ltrim('   ' || n_name)) AS b FROM nation", "SELECT n_nationkey, n_name AS a, length(n_name) AS b FROM nation"),
     "natural_no_common": ("SELECT r_name, x FROM region NATURAL JOIN (VALUES (1), (2)) v(x)", "SELECT r_name, x FROM region CROSS JOIN (VALUES (1), (2)) v(x)"),
     "values_untyped": ("VALUES (1, 'a'), (2.5, NULL)", "SELECT CAST(column1 AS VARCHAR) AS column1, column2 FROM (VALUES ('1.0', 'a'), ('2.5', NULL)) t(column1, column2)"),
@@ -160,7 +163,7 @@ def kafka_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     sql = SHARED | {k: v[0] for k, v in PAIRS.items()}
-    return {k: _sql(v) for k, v in sql.items()} | {"dml_round_trip": dml_round_trip, "kafka_bounds": kafka_bounds}
+    return {k: _sql(v) for k, v in sql.items()} | {"dml_round_trip": dml_round_trip, "kafka_bounds": kafka_bounds} | fixed_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -168,4 +171,4 @@ def oracle_sql() -> dict[str, str]:
     out["flagship"] = out["flagship"].replace("round(sum(l_quantity) * 100)", "round_even(sum(l_quantity) * 100, 0)").replace("round(sum(l_extendedprice * (1 - l_discount)))", "round_even(sum(l_extendedprice * (1 - l_discount)), 0)")
     out["dml_round_trip"] = "SELECT CAST(id AS INTEGER) AS id, name, CAST(qty AS BIGINT) AS qty FROM (VALUES (2, 'B', 2), (4, 'D', 4)) t(id, name, qty)"
     out["kafka_bounds"] = "SELECT CAST(id AS INTEGER) AS id, CAST(part AS INTEGER) AS part, CAST(low AS BIGINT) AS low, CAST(high AS BIGINT) AS high FROM (VALUES (0, 0, 1, NULL), (1, 2, 5, 10), (2, NULL, NULL, NULL), (3, NULL, NULL, NULL), (4, 1, NULL, 7)) t(id, part, low, high)"
-    return out
+    return out | fixed_queries.oracle_sql()
