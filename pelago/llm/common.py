@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -48,9 +49,25 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    for held in _scratch[-1:]:
+        held.append(out)
     return out
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch(keep: Callable[[], DataFrame]) -> Iterator[DataFrame]:
+    """What ``keep`` makes; all other tables that are stored on the way are deleted at the end."""
+    _scratch.append([])
+    try:
+        yield (kept := keep())
+        drop(*(t for t in _scratch[-1] if t is not kept))
+    finally:
+        _scratch.pop()
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete what :func:`stored` has written, once nothing that is still to run reads it."""
     for df in tables:

@@ -5,11 +5,14 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pelago.llm import language, quality, spans
+from pelago.llm import language, quality, simhash, spans
+from pelago.llm.sample import bounded_sample
 
 SYLLABLES = {"en": ["the", "ing", "er", "on", "th", "wh"], "de": ["sch", "ung", "keit", "ein", "ä", "ver"], "es": ["ción", "ñ", "que", "ado", "os", "la"]}
 
@@ -252,3 +255,76 @@ def test_pipeline(spark, folder):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, folder)
         assert out.columns == docs.columns
+
+
+def plain_shingles(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall("[^\x20\x09-\x0d]+", low)
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_pipeline_rows_against_brute_force(spark, folder):
+    """run()'s rows: the models decide as they do alone, near duplicates by all pairs, passages by comparing words, token
+    ids by the library."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    named = language.keep_identified(docs, language.fit_languages(docs))
+    good = quality.keep_good(named, quality.fit_quality(named, spark.read.parquet(f"{folder}/labels.parquet")))
+    texts = {r.doc_id: r.text for r in good.collect()}
+    sets, up = {i: plain_shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in texts:
+        for b in texts:
+            if a < b and (len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1) >= 0.8:
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    kept = [(i, t) for i, t in texts.items() if root(i) == i]
+    left = brute_spans(kept, 20)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows, filled = {}, {}
+    for r in sorted(corpus_pipeline.run(spark, folder).collect(), key=lambda r: (r.sequence_id, r.offset)):
+        rows.setdefault(r.doc_id, {})[r.piece] = r
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    assert max(filled.values()) <= 2048 and set(rows) == {i for i, _ in kept} and len(kept) < len(texts)
+    for i, t in kept:
+        ids, start = [*tokenizer.encode(left[i, t], add_special_tokens=False).ids, 0], 0
+        for _, r in sorted(rows[i].items()):
+            assert r.start == start and r.ids_crc32 == zlib.crc32(np.array(ids[start : start + r.length], dtype="<u4").tobytes())
+            start += r.length
+        assert start == len(ids)
+
+
+def test_rows_that_share_an_id_and_odd_columns(spark, folder):
+    """Rows with one id go by their own texts through every stage, whatever other columns are called."""
+    rng = random.Random(14)
+    long = [prose(rng, "en", 80) for _ in range(4)]
+    near = long[0] + " one more word"
+    rows = [(3, long[0], "en", "s", 1), (5, near, "en", "s", 1), (5, long[1], "en", "s", 1), (5, long[1], "en", "s", 1), (5, long[2], "de", "s", 1), (7, long[2], "en", "s", 1), (None, long[3], "en", "s", 1), (8, None, None, None, None), (8, "", "en", "", 0)]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, gone_id int, body int, row int, node int, held_out int")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert found == sorted([(3, long[0]), (5, long[1]), (5, long[1]), (5, long[2]), (None, long[3]), (8, None), (8, "")], key=str)
+    net = language.fit_languages(df)
+    assert language.identify(df, net).count() == language.identify(df, None).count() == len(rows)
+    assert language.keep_identified(df, net).columns == df.columns
+    labels = spark.createDataFrame([(3, 1), (5, 0), (5, 1), (7, 0), (None, 1), (8, None)], "doc_id long, quality int")
+    model = quality.fit_quality(df, labels, of=1, held_out=9)
+    assert model is not None and quality.score_quality(df, model).count() == len(rows) and quality.keep_good(df, model).columns == df.columns
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, folder)
+        assert out.count() <= len(rows) if name != "packing" else out.count() >= len(rows)
+        assert stage(spark, df.limit(0), folder).collect() == []
+
+
+def test_samples_are_of_rows(spark):
+    rows = spark.range(3000).selectExpr("CAST(4 AS long) AS id", "concat('text ', id) AS text")
+    assert 50 < bounded_sample(rows, ["id", "text"], 100).count() < 200
+    copies = spark.range(3000).selectExpr("CAST(4 AS long) AS id", "'same' AS text")
+    assert bounded_sample(copies, ["id", "text"], 100).count() == 1
+    assert bounded_sample(rows.limit(0), ["id"], 100).count() == 0
