@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pelago.llm import language, packing, quality, simhash, spans
-from pelago.llm.common import stored, table
+from pelago.llm.common import drop, scratch, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -49,8 +49,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack_sequences),
 ]
 
-#: SQL can't express the trained stages.  tests/llm holds near duplicates and passages against brute force one by one; run()'s
-#: rows as a whole are compared with nothing but which documents survive.
+#: SQL can't express the trained stages.  tests/llm holds run()'s rows against the models' own decisions, all pairs of texts,
+#: all runs of sentences and the tokenizer's library on a small corpus.
 ORACLE_SQL = None
 
 
@@ -58,5 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(lambda name=name, stage=stage, docs=docs: stored(stage(spark, docs, sf_dir), f"pipeline-{name}")) as after:
+            if name != STAGES[0][0]:
+                drop(docs)
+            docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
