@@ -365,12 +365,16 @@ class NumberTemplate:
         wide = T.DecimalType(38, max(places, kind.scale))
         shown = F.round(F.abs(value).cast(wide) * F.lit(10**self.shift).cast(T.DecimalType(self.shift + 1, 0)) if self.shift else F.abs(value).cast(wide), places).cast(T.DecimalType(38, places))
         digits = shown.cast("string")
-        before = F.ltrim(F.substring_index(digits, ".", 1), F.lit("0"))
-        after = F.substring_index(digits, ".", -1) if places else F.lit("")
+        # the digits are made once, and laid out from there
+        held = F.struct(F.ltrim(F.substring_index(digits, ".", 1), F.lit("0")).alias("before"), (F.substring_index(digits, ".", -1) if places else F.lit("")).alias("after"), (value < 0).alias("below"), (shown != 0).alias("some"))
+        return let(held, lambda x: self._layout(x["before"], x["after"], x["below"], x["some"]))
+
+    def _layout(self, before: Column, after: Column, below: Column, some: Column) -> Column:
+        places = len(self.fraction)
         slots = [c for c in self.whole if c != ","]
         width, size = len(slots), F.length(before)
         fits = (size <= width) & F.lit(bool(width))
-        negative = (value < 0) & (~fits | (shown != 0))
+        negative = below & (~fits | some)
         force = slots.index("0") if "0" in slots else width
         first = F.least(width - size, F.lit(force))
         if slots and not self.fraction and force == width:
