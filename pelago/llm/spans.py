@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from .common import bounded_batches, drop, free_name, per_batch, stored
 
 _CUT = re.compile(r"([.!?]+[ \t]+|\n\s*)")
-_WORD = re.compile(r"\S+")
+_GAP = re.compile(r"(\s+)")
 #: With 15, fifty common words hold whole sentences of at least 21 words.
 WINDOW = 15
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -62,13 +63,25 @@ def _hashed_cuts(sentence: str) -> list[tuple[int, int]]:
     some WINDOW words in a row."""
     if len(sentence) < 2 * WINDOW - 1:
         return []
-    words = list(_WORD.finditer(sentence))
-    if len(words) < WINDOW:
+    parts = _GAP.split(sentence)  # words and gaps in turn
+    if len(parts) < 2 * WINDOW - 1:
         return []
-    h = np.array([xxhash.xxh64_intdigest(w[0].strip(".!?,;").encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
-    windows = np.lib.stride_tricks.sliding_window_view(h, WINDOW)[:, ::-1]
-    least = np.unique(np.arange(len(windows)) + WINDOW - 1 - windows.argmin(axis=1))
-    return [(words[i - 1].end(), words[i].start()) for i in least.tolist() if i]
+    first = 0 if parts[0] else 2
+    words = parts[first::2]
+    if not words[-1]:
+        words.pop()
+    h = list(map(xxhash.xxh64_intdigest, words))
+    queue, head, least = [], 0, set()  # places of ever larger hashes; those before ``head`` have left the window
+    for i, x in enumerate(h):
+        while len(queue) > head and h[queue[-1]] >= x:
+            queue.pop()
+        queue.append(i)
+        if queue[head] <= i - WINDOW:
+            head += 1
+        if i >= WINDOW - 1:
+            least.add(queue[head])
+    at = [0, *accumulate(map(len, parts))]
+    return [(at[first + 2 * i - 1], at[first + 2 * i]) for i in sorted(least) if i]
 
 
 def spans(sentences: list[str], min_words: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

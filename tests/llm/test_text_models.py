@@ -141,7 +141,7 @@ def plain_sentences(text, window=15):
     out = []
     for sentence, gap in pieces:
         words = [(m.start(), m.end()) for m in re.finditer(r"\S+", sentence)]
-        h = [xxhash.xxh64_intdigest(sentence[a:b].strip(".!?,;").encode()) for a, b in words]
+        h = [xxhash.xxh64_intdigest(sentence[a:b].encode()) for a, b in words]
         cuts = {max(range(i, i + window), key=lambda k: (-h[k], k)) for i in range(len(words) - window + 1)} - {0}
         at = 0
         for c in sorted(cuts):
