@@ -362,12 +362,12 @@ class NumberTemplate:
         places, before_point = len(self.fraction), kind.precision - kind.scale + self.shift + 1
         if before_point + max(places, kind.scale) > 38:
             return None
-        wide = T.DecimalType(38, max(places, kind.scale))
-        shown = F.round(F.abs(value).cast(wide) * F.lit(10**self.shift).cast(T.DecimalType(self.shift + 1, 0)) if self.shift else F.abs(value).cast(wide), places).cast(T.DecimalType(38, places))
+        wide = T.DecimalType(before_point + max(places, kind.scale), max(places, kind.scale))  # no wider than need be: up to 18 digits are a long
+        shown = F.round(F.abs(value).cast(wide) * F.lit(10**self.shift).cast(T.DecimalType(self.shift + 1, 0)) if self.shift else F.abs(value).cast(wide), places).cast(T.DecimalType(before_point + places, places))
         digits = shown.cast("string")
-        # the digits are made once, and laid out from there
-        held = F.struct(F.ltrim(F.substring_index(digits, ".", 1), F.lit("0")).alias("before"), (F.substring_index(digits, ".", -1) if places else F.lit("")).alias("after"), (value < 0).alias("below"), (shown != 0).alias("some"))
-        return let(held, lambda x: self._layout(x["before"], x["after"], x["below"], x["some"]))
+        before = F.ltrim(F.substring_index(digits, ".", 1), F.lit("0"))
+        after = F.substring_index(digits, ".", -1) if places else F.lit("")
+        return self._layout(before, after, value < 0, shown != 0)
 
     def _layout(self, before: Column, after: Column, below: Column, some: Column) -> Column:
         places = len(self.fraction)
