@@ -210,3 +210,41 @@ def test_nulls_and_volatile_values(spark):
     assert e.sql("SELECT to_char(v, 'FM99.0') AS c FROM (VALUES (1.25), (NULL)) t(v)").collect()[1][0] is None
     first, second = e.sql("WITH c AS (SELECT clock_timestamp() AS t) SELECT a.t, b.t FROM c a CROSS JOIN c b").collect()[0]
     assert first == second
+
+
+@pytest.mark.parametrize("on", ["a.k = b.k AND a.v < b.v", "b.v <= a.v AND b.w = a.w AND a.k = b.k", "a.k = b.k AND a.v > b.v", "a.v >= b.v AND a.k = b.k"])
+def test_pairs_of_a_tables_rows_by_order(spark, on):
+    """Keys with several blocks, one row and none; equal values, nulls, NaN, both zeros."""
+    rng = random.Random(7)
+    odd = [None, float("nan"), -0.0, 0.0, float("inf")]
+    rows = [(i, rng.choice(["x", "x", "x", "y", None]), rng.choice([0.0, -0.0, None]), rng.choice(odd) if i % 9 == 0 else float(rng.randrange(300)), rng.choice([None, f"n{i}"])) for i in range(800)] + [(-1, "z", 0.0, 1.0, None)]
+    e = Engine(spark)
+    e.register("t", spark.createDataFrame(rows, "id int, k string, w double, v double, name string"))
+
+    def order(v):
+        return (v != v, 0 if v != v else v)
+
+    compared = {"<": lambda a, b: order(a) < order(b), "<=": lambda a, b: order(b) <= order(a), ">": lambda a, b: order(a) > order(b), ">=": lambda a, b: order(a) >= order(b)}[on.split(".v ")[1].split()[0]]
+    same = [1, 2] if "w" in on else [1]
+    want = sorted((a[0], b[0]) for a in rows for b in rows if None not in [x[i] for x in (a, b) for i in (*same, 3)] and all(a[i] == b[i] for i in same) and compared(a[3], b[3]))
+    found = e.sql(f"SELECT a.*, b.id AS other, b.w AS ow, b.v AS ov, b.name AS oname FROM t a JOIN t b ON {on}").collect()
+    assert sorted((r.id, r.other) for r in found) == want
+    by_id = {r[0]: r for r in rows}
+    assert all(repr(tuple(r)) == repr((*by_id[r.id], r.other, *by_id[r.other][2:])) for r in found)
+
+
+def test_pairs_of_one_key_are_made_by_several_tasks(spark):
+    e = Engine(spark)
+    e.register("t", spark.range(0, 3000, 1, 1).select("id", F.lit("k").alias("k")))
+    parts = [r["count"] for r in e.sql("SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.k = b.k AND a.id < b.id").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 3000 * 2999 // 2 and max(parts) < 0.6 * sum(parts)
+
+
+def test_other_self_joins_keep_their_filters_below(spark):
+    e = Engine(spark)
+    e.register("t", spark.range(100).select("id", (F.col("id") % 3).alias("k")))
+    join = "SELECT a.id AS x, b.id AS y FROM t a JOIN t b ON a.k = b.k AND a.id < b.id"
+    for text in (f"{join} WHERE a.id = 90", f"SELECT * FROM ({join}) p WHERE x = 90", f"WITH p AS ({join}) SELECT x, y FROM p WHERE x = 90"):
+        df = e.sql(text)
+        assert sorted(map(tuple, df.collect())) == [(90, 93), (90, 96), (90, 99)]
+        assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
