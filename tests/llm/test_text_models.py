@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -202,6 +203,53 @@ def test_spans(spark):
     assert spans.remove_repeated_spans(df.limit(0)).collect() == []
 
 
+def test_texts_are_cut_together():
+    rng = random.Random(12)
+    pool = ["a", "b", "aa", "\u00e9", "\u00fc.", "\u65e5\u672c", "x,", "...", ".", "!", "? ", ",", ";", "\n", "\r", "\t", "  ", "\x0b", "\u2028", "\xa0", "\0", "\U0001f600", "\u3000", ". \n", " \n ", "Is here."]
+    texts = ["", ".", " ", "\n", "one. ", "a" * 40] * 2
+    for _ in range(200):
+        some = rng.sample(pool, rng.randint(1, len(pool)))
+        texts.append(rng.choice(["", " ", " "]).join(rng.choice(some) for _ in range(rng.choice([3, 30, 300]))))
+    calls = 0
+
+    def count(frame, event, _):
+        nonlocal calls
+        calls += event == "call" and frame.f_code.co_filename == spans.__file__
+
+    sys.setprofile(count)
+    try:
+        s = spans.sentences_of(texts)
+        start, end, text, some = spans.spans_of(s, 20)
+        h, g = spans.span_hashes(s, start, end, some)
+        again = spans.seen_before(text, h, g)
+        spans.split_sentences("A line of some words. And more.\n" * 2000)
+    finally:
+        sys.setprofile(None)
+    assert calls < 100  # the work must not be done sentence by sentence
+    seen = set()
+    for i, t in enumerate(texts):
+        k = slice(s.first[i], s.first[i + 1])
+        parts = [(s.joined[a:b], s.joined[b:c]) for a, b, c in zip(s.start[k], s.end[k], s.after[k], strict=True)]
+        assert parts == plain_sentences(t)
+        core = [x.strip(" \t.!?,;") for x, _ in parts]
+        size = [len(c.split()) for c in core]
+        assert s.words[k].tolist() == size and [s.joined[a:b] for a, b, n in zip(s.core[k], s.core_end[k], size, strict=True) if n] == [c for c, n in zip(core, size, strict=True) if n]
+        full = [j for j, n in enumerate(size) if n]
+        total = np.cumsum([0, *(size[j] for j in full)]).tolist()
+        runs = [(a, b) for a in range(len(full)) for b in range(a + 1, len(full)) if total[b + 1] - total[a] >= 20]
+        want = sorted({*{a: (a, b) for a, b in reversed(runs)}.values(), *{b: (a, b) for a, b in runs}.values()})
+        mine = np.flatnonzero(text == i)
+        assert [(some[start[j]] - k.start, some[end[j] - 1] - k.start) for j in mine] == [(full[a], full[b]) for a, b in want]
+        for j, (a, b) in zip(mine, want, strict=True):
+            key = (i, *(core[x] for x in full[a : b + 1]))
+            assert again[j] == (key in seen)
+            seen.add(key)
+    keys = {}
+    for j, hg in enumerate(zip(h.tolist(), g.tolist(), strict=True)):
+        keys.setdefault(hg, set()).add(tuple(s.joined[s.core[x] : s.core_end[x]] for x in some[start[j] : end[j]]))
+    assert again.any() and all(len(x) == 1 for x in keys.values()) and len(keys) == len({c for x in keys.values() for c in x})
+
+
 def test_any_fifty_common_words_show(spark):
     rng = random.Random(31)
 
